@@ -13,6 +13,7 @@ from seatwise.functions.text import program_branch, program_degree
 from seatwise.operators import programs as P
 from seatwise.operators.rounds import first_row
 from seatwise.plans.recommend import ready_seats, seat_table
+from seatwise.session import written
 
 YEAR = 2000
 
@@ -162,14 +163,18 @@ def _derived(spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
-def cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, CUTOFF_COLUMNS)
+def cutoffs(spark: SparkSession, sf_dir: str, applicant: bool = False) -> DataFrame:
+    columns = {**CUTOFF_COLUMNS, "applicant": "o_custkey"} if applicant else CUTOFF_COLUMNS
+    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns)
 
 
 def raw_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text columns of a raw file, plus the columns that stand for the source line."""
+    """Text columns of a raw file, plus the columns that stand for the source line.
+
+    Landed as a file of its own, as a cutoff table would be.
+    """
     columns = {**RAW_COLUMNS, **{c: c for c in LINES[1:]}}
-    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns)
+    return written(_derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns))
 
 
 def profiles(spark: SparkSession, sf_dir: str, preferences: bool = False) -> DataFrame:

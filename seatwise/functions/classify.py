@@ -73,9 +73,14 @@ def _tag_rules(program: Column) -> dict[str, Column]:
 
 
 def branch_tags(program: Column) -> Column:
-    """Sorted tags of a full program name."""
-    tags = F.array_compact(F.array(*[F.when(c, tag) for tag, c in _tag_rules(program).items()]))
-    return F.when(F.size(tags) == 0, F.array(F.lit(V.DEFAULT_TAG))).otherwise(F.array_sort(tags))
+    """Sorted tags of a full program name.
+
+    Only functions with generated code: higher-order functions such as ``filter`` would make the
+    whole expression interpreted, which is many times slower.
+    """
+    rules = sorted(_tag_rules(program).items())
+    tags = F.array_remove(F.array(*[F.when(c, tag).otherwise("") for tag, c in rules]), "")
+    return F.coalesce(F.nullif(tags, F.array().cast("array<string>")), F.array(F.lit(V.DEFAULT_TAG)))
 
 
 _TAG_BITS = {tag: 1 << i for i, tag in enumerate([*V.TAG_KEYWORDS, V.DEFAULT_TAG])}

@@ -61,5 +61,10 @@ def relevant_rank(exam: Column, adv_rank: Column, mains_rank: Column) -> Column:
     return F.when(exam == "advanced", adv_rank).otherwise(mains_rank)
 
 
+def passes_seat(mode: Column, wanted: Column, seat_type: Column) -> Column:
+    """Basic data and the empty category know no seat filter."""
+    return (mode == "basic") | (wanted == "") | (seat_type == wanted)
+
+
 def shares_tag(tags: Column, wanted: Column) -> Column:
     return (F.size(wanted) == 0) | F.arrays_overlap(tags, wanted)

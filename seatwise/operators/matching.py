@@ -24,6 +24,14 @@ from seatwise.session import task_count
 BINS_PER_OCTAVE = 4
 BROADCAST_ROWS = 1_000_000
 BLOCK_ROWS = 10_000
+_BRAND_UNIT = 1 << 10
+_WEIGHT_UNIT = 1 << 24
+_CATEGORY_UNIT = 1 << 32
+# the reference order of equal category, score and closing rank is institute, branch; the rest
+# makes it total
+TIE_BREAK = [
+    "institute", "branch", "branch_full", "quota", "gender_pool", "seat_type", "opening_rank",
+]
 ROUTE = ["data_mode", "exam", "seat_key", "access", "bin"]
 ANY_SEAT = "*"
 
@@ -36,11 +44,12 @@ def rank_bin(rank: Column) -> Column:
 def with_match_columns(programs: DataFrame) -> DataFrame:
     """Program rows plus an id and everything a pair needs to be judged and scored.
 
-    The id is only stable once the result is written, see ``plans.recommend``.
+    Ids follow the tie-break order: the sort is a range-partitioned one, and ids grow with the
+    partition number and the row within it. They are only fixed once the result is written, see
+    ``plans.recommend``.
     """
-    return programs.withColumns(
+    columns = programs.withColumns(
         {
-            "program_id": F.monotonically_increasing_id(),
             "tag_mask": classify.tag_mask(F.col("tags")),
             "goal_weights": scoring.goal_weight_array(F.col("tags")),
             "access": eligibility.seat_access(
@@ -51,6 +60,25 @@ def with_match_columns(programs: DataFrame) -> DataFrame:
             ),
         }
     )
+    return columns.orderBy(*TIE_BREAK).withColumn("program_id", F.monotonically_increasing_id())
+
+
+def _score_classes() -> Column:
+    """Per goal, (tag weight, brand score, closing step) packed into one number to count by."""
+    brand = F.floor(F.col("brand_score") * 1000 + 1e-9).cast("bigint")
+    step = F.floor(F.log2(F.greatest("closing_rank", F.lit(1))) * 8).cast("bigint")
+    return F.transform(
+        "goal_weights",
+        lambda w: F.floor(w).cast("bigint") * _WEIGHT_UNIT + brand * _BRAND_UNIT + step,
+    )
+
+
+def _class_parts(code: Column) -> tuple[Column, Column, Column, Column]:
+    """Category, weight, brand score and closing step of a class; none above the real value."""
+    category = F.floor(code / F.lit(_CATEGORY_UNIT))
+    weight = F.floor(code % _CATEGORY_UNIT / F.lit(_WEIGHT_UNIT)).cast("double")
+    brand = F.floor(code % _WEIGHT_UNIT / F.lit(_BRAND_UNIT)) / F.lit(1000.0)
+    return category.cast("int"), weight, brand, code % _BRAND_UNIT
 
 
 def binned_programs(programs: DataFrame, any_seat_in_extended: bool) -> DataFrame:
@@ -78,7 +106,7 @@ def binned_programs(programs: DataFrame, any_seat_in_extended: bool) -> DataFram
             ),
             low.alias("low"),
             high.alias("high"),
-            F.floor(F.log2(F.greatest("closing_rank", F.lit(1))) * 8).cast("int").alias("step"),
+            _score_classes().alias("classes"),
             F.explode(seat_keys).alias("seat_key"),
         )
         # an empty band would make the sequence below count downwards
@@ -179,11 +207,11 @@ def pairs_of(
         "exam",
         "rank",
         "closing_rank",
-        "step",
         "ratio",
         "brand_score",
         F.get("goal_weights", "goal_no").alias("weight"),
         category_no.alias("category_no"),
+        (category_no * F.lit(_CATEGORY_UNIT) + F.get("classes", "goal_no")).alias("class"),
         *keep,
     )
 
@@ -236,19 +264,26 @@ def match_programs_unbinned(profiles: DataFrame, programs: DataFrame) -> DataFra
     )
 
 
-def _cutoffs(pairs: DataFrame) -> DataFrame:
+def _cutoffs(pairs: DataFrame, narrow: DataFrame) -> DataFrame:
     """Per profile: number of matches, and a bound no top-N match lies beyond.
 
-    Pairs are first counted per (category, weight, brand, closing step), a hash aggregation with
-    map-side combine. Taken in ranking order, the first of those groups that together hold
-    ``max_results`` pairs contain the N-th best, so the worst sort key among them bounds the top N.
+    Pairs are first counted per class (category, tag weight, brand, closing step), a hash
+    aggregation with map-side combine. Taken in ranking order, the first classes that together
+    hold ``max_results`` pairs contain the N best or worse, so the worst sort key among them
+    bounds the top N.
     """
-    groups = pairs.groupBy(
-        "profile_id", "max_results", "ratio", "category_no", "weight", "brand_score", "step"
-    ).agg(F.count("*").alias("n"), F.max("closing_rank").alias("worst_closing"))
-    scored = groups.withColumn(
-        "score",
-        scoring.interest_score(F.col("weight"), F.col("brand_score"), F.col("ratio")),
+    classes = pairs.groupBy("profile_id", "class").agg(
+        F.count("*").alias("n"), F.max("closing_rank").alias("worst_closing")
+    )
+    category_no, weight, brand, step = _class_parts(F.col("class"))
+    scored = classes.join(narrow.select("profile_id", "ratio", "max_results"), "profile_id").select(
+        "profile_id",
+        "max_results",
+        "n",
+        "worst_closing",
+        category_no.alias("category_no"),
+        scoring.interest_score(weight, brand, F.col("ratio")).alias("score"),
+        step.alias("step"),
     )
     ahead = (
         Window.partitionBy("profile_id")
@@ -292,14 +327,7 @@ RANKING = [
     F.asc("category_no"),
     F.desc("interest_score"),
     F.asc("closing_rank"),
-    F.asc("institute"),
-    F.asc("branch"),
-    # the reference order ends here; the rest makes it total
-    F.asc("branch_full"),
-    F.asc("quota"),
-    F.asc("gender_pool"),
-    F.asc("seat_type"),
-    F.asc("opening_rank"),
+    F.asc("program_id"),
 ]
 
 
@@ -312,35 +340,41 @@ def top_matches(
     """The first ``max_results`` matches per profile with all program columns and the total.
 
     The pairs are enumerated twice and never sorted or shuffled as a whole: the first pass only
-    counts, the second keeps what can be in the top N. Only those rows meet the wide program
-    columns and the window.
+    counts, the second keeps what can be in the top N. Only those rows are sorted, and only the
+    top N meet the wide program columns.
     """
     binned = binned_programs(programs, asks_any_seat(profiles))
     chosen = strategy or choose_strategy(binned)
     narrow = narrow_profiles(profiles)
-    cutoffs = _cutoffs(pairs_of(probes_of(narrow), binned, chosen, block))
+    cutoffs = _cutoffs(pairs_of(probes_of(narrow), binned, chosen, block), narrow)
     bounded = probes_of(narrow.join(cutoffs, "profile_id"))
     bounds = ("total", "worst_category", "worst_score", "worst_closing")
     near = pairs_of(bounded, binned, chosen, block, keep=bounds)
-    kept = near.where(_within_cutoff()).select(
-        "profile_id",
-        "max_results",
-        "total",
-        "program_id",
-        "rank",
-        "category_no",
-        (F.col("weight") > 0).alias("matched_interest"),
-        scoring.interest_score(
-            F.col("weight"), F.col("brand_score"), F.col("ratio")
-        ).alias("interest_score"),
-    )
-    seats = programs.drop("data_mode", "tag_mask", "goal_weights", "access")
+    score = scoring.interest_score(F.col("weight"), F.col("brand_score"), F.col("ratio"))
     position = F.row_number().over(Window.partitionBy("profile_id").orderBy(*RANKING))
-    return (
-        kept.join(seats, "program_id")
+    ranked = (
+        near.where(_within_cutoff())
+        .select(
+            "profile_id",
+            "max_results",
+            "total",
+            "program_id",
+            "rank",
+            "closing_rank",
+            "category_no",
+            (F.col("weight") > 0).alias("matched_interest"),
+            score.alias("interest_score"),
+        )
         .withColumn("position", position)
         # the literal cap lets Spark cut each sort at the cap; the column applies the own limit
-        .where((F.col("position") <= V.MAX_RESULTS_CAP) & (F.col("position") <= F.col("max_results")))
-        .drop("max_results", "program_id")
-        .withColumn("category", F.get(F.array(*map(F.lit, V.CATEGORIES)), "category_no"))
+        .where(
+            (F.col("position") <= V.MAX_RESULTS_CAP)
+            & (F.col("position") <= F.col("max_results"))
+        )
+        .drop("max_results", "closing_rank")
+    )
+    seats = programs.drop("data_mode", "tag_mask", "goal_weights", "access")
+    category = F.get(F.array(*map(F.lit, V.CATEGORIES)), "category_no")
+    return (
+        ranked.join(seats, "program_id").withColumn("category", category).drop("program_id")
     )

@@ -151,11 +151,9 @@ def reason_text() -> Column:
         branch=F.col("branch"),
     )
     home, female = F.col("home_state_advantage"), F.col("female_seat_advantage")
+    join = text_of(F.lit("reason.join"))
     clauses = [
-        lead,
-        F.when(
-            home.isNotNull(), filled(text_of(F.lit("reason.hs")), n=western_grouping(home))
-        ),
+        F.when(home.isNotNull(), filled(text_of(F.lit("reason.hs")), n=western_grouping(home))),
         F.when(
             female.isNotNull(), filled(text_of(F.lit("reason.female")), n=western_grouping(female))
         ),
@@ -164,10 +162,9 @@ def reason_text() -> Column:
             filled(text_of(F.lit("reason.special")), quota=F.col("quota")),
         ),
     ]
-    sentence = F.array_join(F.array_compact(F.array(*clauses)), "\x00")
     tail = text_of(F.concat(F.lit("tail."), F.col("confidence")))
     return F.concat(
-        F.replace(sentence, F.lit("\x00"), text_of(F.lit("reason.join"))), F.lit(". "), tail
+        lead, *[F.coalesce(F.concat(join, c), F.lit("")) for c in clauses], F.lit(". "), tail
     )
 
 
@@ -179,3 +176,20 @@ def headline(n_target: Column, n_safe: Column, total: Column) -> Column:
         .when(n_safe > 0, "solid")
         .otherwise("stretch")
     )
+
+
+def share_summary(summary: DataFrame, picks: DataFrame) -> DataFrame:
+    """Title, the best matches and the Safe and Reach counts, one line each."""
+    listed = F.array_join("picks", ", ")
+    target = filled(text_of(F.lit("share.target")), count=F.col("n_target"), picks=listed)
+    best = filled(text_of(F.lit("share.picks")), picks=listed)
+    counts = filled(
+        text_of(F.lit("share.counts")), safe=F.col("n_safe"), reach=F.col("n_reach")
+    )
+    line = F.when(
+        F.col("picks").isNotNull(), F.when(F.col("n_target") > 0, target).otherwise(best)
+    )
+    return with_texts(summary.join(picks, "profile_id", "left")).select(
+        "profile_id",
+        F.concat_ws("\n", text_of(F.lit("share.title")), line, counts).alias("share"),
+    )

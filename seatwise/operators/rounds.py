@@ -19,8 +19,14 @@ HISTORY_KEY = ["institute", "program", "quota", "seat_type", "gender_pool"]
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row per key. The hash in front makes the sort compare one number, not texts."""
+    rank = F.row_number().over(Window.partitionBy("_hash", *keys).orderBy(*order))
+    return (
+        df.withColumn("_hash", F.xxhash64(*keys))
+        .withColumn("_rank", rank)
+        .where("_rank = 1")
+        .drop("_rank", "_hash")
+    )
 
 
 def _lines(lines: list[str], descending: bool) -> list[Column]:

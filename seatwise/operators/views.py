@@ -81,15 +81,16 @@ def college_groups(recommendations: DataFrame, key: str = "probability") -> Data
         F.count("*").alias("n"),
         F.max(F.coalesce("admission_probability", F.lit(0.0))).alias("admission_probability"),
         F.min("closing_rank").alias("closing_rank"),
-        F.min("position").alias("position"),
+        F.min("position").alias("first_position"),
         F.array_sort(F.collect_list(F.struct("_inner", "branch"))).alias("_rows"),
     )
-    outer = [*_sort_keys(key), F.asc("position")]
+    outer = [*_sort_keys(key), F.asc("first_position")]
     return colleges.select(
         *group,
         "n",
         "admission_probability",
         "closing_rank",
+        "first_position",
         F.transform("_rows", lambda r: r["branch"]).alias("branches"),
         F.row_number()
         .over(Window.partitionBy("profile_id", "category").orderBy(*outer))

@@ -28,8 +28,11 @@ def basic_programs(snapshot: DataFrame, year: int = V.DEFAULT_YEAR) -> DataFrame
 def seat_table(
     programs: DataFrame, mode: str, history: DataFrame | None, year: int = V.DEFAULT_YEAR
 ) -> DataFrame:
-    """All that depends on the seat alone, computed once per seat instead of once per match."""
-    full = P.with_history(P.with_advantages(programs), history, year)
+    """All that depends on the seat alone, computed once per seat instead of once per match.
+
+    The programs are read three times, for themselves and both advantages, and so written first.
+    """
+    full = P.with_history(P.with_advantages(written(programs)), history, year)
     return full.withColumns(
         {
             "data_mode": F.lit(mode),
