@@ -323,14 +323,6 @@ def _within_cutoff() -> Column:
     )
 
 
-RANKING = [
-    F.asc("category_no"),
-    F.desc("interest_score"),
-    F.asc("closing_rank"),
-    F.asc("program_id"),
-]
-
-
 def top_matches(
     profiles: DataFrame,
     programs: DataFrame,
@@ -351,7 +343,11 @@ def top_matches(
     bounds = ("total", "worst_category", "worst_score", "worst_closing")
     near = pairs_of(bounded, binned, chosen, block, keep=bounds)
     score = scoring.interest_score(F.col("weight"), F.col("brand_score"), F.col("ratio"))
-    position = F.row_number().over(Window.partitionBy("profile_id").orderBy(*RANKING))
+    position = F.row_number().over(
+        Window.partitionBy("profile_id").orderBy(
+            "category_no", F.desc("interest_score"), "closing_rank", "program_id"
+        )
+    )
     ranked = (
         near.where(_within_cutoff())
         .select(
