@@ -29,10 +29,6 @@ def recs(spark: SparkSession, sf: str, texts: bool = False, preferences: bool =
     return recommend(fx.profiles(spark, sf, preferences), fx.seats(spark, sf), texts=texts)
 
 
-def history_text(column: str = "history"):
-    """year:rank pairs in year order"""
-    pairs = F.transform(
-        F.array_sort(F.map_entries(column)),
-        lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")),
-    )
-    return F.array_join(pairs, ",")
+def history_text():
+    """{year -> rank, ...} in year order; casts have generated code, higher-order functions not"""
+    return F.col("history").cast("string")

@@ -207,10 +207,10 @@ def rank_bar(spark, sf):
 
 @query(
     "history_timeline",
-    f"""SELECT profile_id, position, CAST(split_part(point, ':', 1) AS INT) AS year,
-        CAST(split_part(point, ':', 2) AS BIGINT) AS closing_rank,
-        split_part(point, ':', 1) = '{fx.YEAR}' AS is_current
-    FROM (SELECT profile_id, position, unnest(string_split(history, ',')) AS point
+    f"""SELECT profile_id, position, CAST(split_part(point, ' -> ', 1) AS INT) AS year,
+        CAST(split_part(point, ' -> ', 2) AS BIGINT) AS closing_rank,
+        split_part(point, ' -> ', 1) = '{fx.YEAR}' AS is_current
+    FROM (SELECT profile_id, position, unnest(string_split(trim(history, '{{}}'), ', ')) AS point
         FROM recs WHERE years > 1)""",
 )
 def history_timeline(spark, sf):

@@ -145,8 +145,8 @@ CTES["texts"] = """
     LEFT JOIN wording w ON w.lang = l.lang AND w.key = e.key"""
 CTES["history"] = """
     SELECT institute, program, quota, seat_type, gender_pool,
-        string_agg(CAST(year AS VARCHAR) || ':' || CAST(closing_rank AS VARCHAR), ','
-            ORDER BY year) AS history,
+        '{' || string_agg(CAST(year AS VARCHAR) || ' -> ' || CAST(closing_rank AS VARCHAR), ', '
+            ORDER BY year) || '}' AS history,
         count(*) AS years, stddev_pop(closing_rank) AS deviation
     FROM year_ends GROUP BY ALL"""
 CTES["home_advantage"] = """
@@ -160,7 +160,7 @@ CTES["female_advantage"] = """
             - max(closing_rank) FILTER (gender_pool = 'neutral') AS advantage
     FROM programs GROUP BY ALL HAVING advantage > 0"""
 CTES["seats"] = f"""
-    SELECT s.*, coalesce(h.history, '{fx.YEAR}:' || CAST(s.closing_rank AS VARCHAR)) AS history,
+    SELECT s.*, coalesce(h.history, '{{{fx.YEAR} -> ' || CAST(s.closing_rank AS VARCHAR) || '}}') AS history,
         coalesce(h.years, 1) AS years, h.deviation,
         greatest(
             CASE WHEN coalesce(h.years, 1) >= 2 THEN h.deviation ELSE 0.08 * s.closing_rank END,

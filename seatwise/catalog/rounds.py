@@ -98,8 +98,8 @@ def write_last_round(spark, sf):
 @query(
     "program_history",
     """SELECT institute, program, quota, seat_type, gender_pool,
-        string_agg(CAST(year AS VARCHAR) || ':' || CAST(closing_rank AS VARCHAR), ','
-            ORDER BY year) AS history, count(*) AS years
+        '{' || string_agg(CAST(year AS VARCHAR) || ' -> ' || CAST(closing_rank AS VARCHAR), ', '
+            ORDER BY year) || '}' AS history, count(*) AS years
     FROM typed_history GROUP BY ALL""",
 )
 def program_history(spark, sf):

@@ -13,7 +13,7 @@ from seatwise.functions.text import program_branch, program_degree
 from seatwise.operators import programs as P
 from seatwise.operators.rounds import first_row
 from seatwise.plans.recommend import ready_seats, seat_table
-from seatwise.session import written
+from seatwise.session import spread, written
 
 YEAR = 2000
 
@@ -157,7 +157,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _derived(spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str, str]):
-    df = table(spark, sf_dir, base)
+    df = spread(table(spark, sf_dir, base))
     for name, condition in tables.items():
         df = df.join(table(spark, sf_dir, name), F.expr(condition))
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])

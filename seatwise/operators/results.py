@@ -137,34 +137,69 @@ def profile_notes(profiles: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def reason_text() -> Column:
-    """Why a row is listed: lead, optional advantages, confidence. Needs ``texts``."""
+def _phrases(spark) -> DataFrame:
+    """Ready sentences per language, category, goal match, brand tier and confidence.
+
+    Some hundred rows, so that a result row needs one lookup instead of one per text.
+    """
+
+    def each(values: list) -> Column:
+        return F.explode(F.array(*map(F.lit, values)))
+
+    rows = spark.range(1).select(each(V.LANGUAGES).alias("lang"))
+    for name, values in {
+        "category": V.CATEGORIES,
+        "matched_interest": [True, False],
+        "tier": list(V.BRAND_SCORES),
+        "confidence": ["fragile", "medium", "high"],
+    }.items():
+        rows = rows.select("*", each(values).alias(name))
     fit = F.when(F.col("matched_interest"), text_of(F.lit("reason.matched"))).otherwise(
         text_of(F.lit("reason.unmatched"))
     )
-    tier = classify.brand_tier(F.col("institute_type"), F.col("brand_score"))
     lead = filled(
         text_of(F.lit("reason.lead")),
         category=F.col("category"),
         fit=fit,
-        brand=text_of(F.concat(F.lit("brand."), tier)),
-        branch=F.col("branch"),
+        brand=text_of(F.concat(F.lit("brand."), "tier")),
     )
+    then = text_of(F.lit("reason.join"))
+    return with_texts(rows).select(
+        "lang",
+        "category",
+        "matched_interest",
+        "tier",
+        "confidence",
+        text_of(F.concat(F.lit("fit."), "category")).alias("fit_label"),
+        lead.alias("_lead"),
+        F.concat(then, text_of(F.lit("reason.hs"))).alias("_home"),
+        F.concat(then, text_of(F.lit("reason.female"))).alias("_female"),
+        F.concat(then, text_of(F.lit("reason.special"))).alias("_special"),
+        F.concat(F.lit(". "), text_of(F.concat(F.lit("tail."), "confidence"))).alias("_tail"),
+    )
+
+
+def with_reason(df: DataFrame) -> DataFrame:
+    """``fit_label``, and ``reason``: lead, the advantages that apply, confidence."""
+    keys = ["lang", "category", "matched_interest", "tier", "confidence"]
+    lang = F.when(F.col("lang").isin(V.LANGUAGES), F.col("lang")).otherwise("en")
+    tier = classify.brand_tier(F.col("institute_type"), F.col("brand_score"))
+    rows = df.withColumns({"lang": lang, "tier": tier})
     home, female = F.col("home_state_advantage"), F.col("female_seat_advantage")
-    join = text_of(F.lit("reason.join"))
-    clauses = [
-        F.when(home.isNotNull(), filled(text_of(F.lit("reason.hs")), n=western_grouping(home))),
-        F.when(
-            female.isNotNull(), filled(text_of(F.lit("reason.female")), n=western_grouping(female))
+    special = home.isNull() & F.col("quota").isin(list(V.SPECIAL_QUOTA_STATES))
+    reason = F.concat(
+        filled(F.col("_lead"), branch=F.col("branch")),
+        F.when(home.isNull(), "").otherwise(filled(F.col("_home"), n=western_grouping(home))),
+        F.when(female.isNull(), "").otherwise(
+            filled(F.col("_female"), n=western_grouping(female))
         ),
-        F.when(
-            home.isNull() & F.col("quota").isin(list(V.SPECIAL_QUOTA_STATES)),
-            filled(text_of(F.lit("reason.special")), quota=F.col("quota")),
-        ),
-    ]
-    tail = text_of(F.concat(F.lit("tail."), F.col("confidence")))
-    return F.concat(
-        lead, *[F.coalesce(F.concat(join, c), F.lit("")) for c in clauses], F.lit(". "), tail
+        F.when(special, filled(F.col("_special"), quota=F.col("quota"))).otherwise(""),
+        "_tail",
+    )
+    return (
+        rows.join(F.broadcast(_phrases(df.sparkSession)), keys)
+        .withColumn("reason", reason)
+        .drop("_lead", "_home", "_female", "_special", "_tail", "tier")
     )
 
 

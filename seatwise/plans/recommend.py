@@ -58,13 +58,7 @@ def recommend(
     )
     if not texts:
         return top
-    languages = profiles.select("profile_id", "lang")
-    return (
-        results.with_texts(top.join(languages, "profile_id"))
-        .withColumn("fit_label", results.text_of(F.concat(F.lit("fit."), "category")))
-        .withColumn("reason", results.reason_text())
-        .drop("texts")
-    )
+    return results.with_reason(top.join(profiles.select("profile_id", "lang"), "profile_id"))
 
 
 def ingest(raw: DataFrame, year: int = V.DEFAULT_YEAR, lines: list[str] = ("line",)) -> DataFrame:
