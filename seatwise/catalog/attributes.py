@@ -309,7 +309,8 @@ def join_prefs(spark, sf):
     LEFT JOIN weights w ON w.goal = a.goal AND w.tag = a.tag""",
 )
 def join_goal_weights(spark, sf):
-    weight = F.get(scoring.goal_weight_array(F.col("tags")), scoring.goal_index(F.col("goal")))
+    mask = classify.tag_mask(F.col("tags"))
+    weight = F.get(scoring.goal_weight_array(mask), scoring.goal_index(F.col("goal")))
     return tagged_applications(spark, sf).select(*_COLUMNS, weight.alias("weight"))
 
 
@@ -328,7 +329,8 @@ _BRAND = (
     LEFT JOIN weights w ON w.goal = a.goal AND w.tag = a.tag""",
 )
 def interest_score(spark, sf):
-    weight = F.get(scoring.goal_weight_array(F.col("tags")), scoring.goal_index(F.col("goal")))
+    mask = classify.tag_mask(F.col("tags"))
+    weight = F.get(scoring.goal_weight_array(mask), scoring.goal_index(F.col("goal")))
     brand = classify.brand_score(F.col("institute"), F.col("institute_type"))
     rows = tagged_applications(spark, sf).withColumns({"weight": weight, "brand": brand})
     return rows.select(

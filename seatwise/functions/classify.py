@@ -83,7 +83,7 @@ def branch_tags(program: Column) -> Column:
     return F.coalesce(F.nullif(tags, F.array().cast("array<string>")), F.array(F.lit(V.DEFAULT_TAG)))
 
 
-_TAG_BITS = {tag: 1 << i for i, tag in enumerate([*V.TAG_KEYWORDS, V.DEFAULT_TAG])}
+TAG_BITS = {tag: 1 << i for i, tag in enumerate([*V.TAG_KEYWORDS, V.DEFAULT_TAG])}
 
 
 def tag_mask(tags: Column) -> Column:
@@ -92,7 +92,7 @@ def tag_mask(tags: Column) -> Column:
         lambda a, b: a.bitwiseOR(b),
         [
             F.when(F.array_contains(tags, tag), F.lit(bit)).otherwise(F.lit(0))
-            for tag, bit in _TAG_BITS.items()
+            for tag, bit in TAG_BITS.items()
         ],
     ).cast("int")
 
@@ -103,7 +103,7 @@ def preference_mask(preferences: Column) -> Column:
         lambda a, b: a.bitwiseOR(b),
         [
             F.when(
-                F.array_contains(preferences, p), F.lit(sum(_TAG_BITS[t] for t in tags))
+                F.array_contains(preferences, p), F.lit(sum(TAG_BITS[t] for t in tags))
             ).otherwise(F.lit(0))
             for p, tags in V.PREFERENCE_TAGS.items()
         ],

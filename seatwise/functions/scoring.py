@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from seatwise.dims import values as V
+from seatwise.functions.classify import TAG_BITS
 
 
 def blended_score(branch: Column, brand: Column, ratio: Column) -> Column:
@@ -16,15 +17,15 @@ def interest_score(branch: Column, brand: Column, ratio: Column) -> Column:
     return F.round(blended_score(branch, brand, ratio), 2)
 
 
-def goal_weight_array(tags: Column) -> Column:
-    """Best tag weight for each goal, in the fixed goal order; 0 where no tag counts."""
+def goal_weight_array(mask: Column) -> Column:
+    """Best tag weight of a tag bit set for each goal, in the fixed goal order; 0 for none."""
     weights = []
     for goal in V.GOALS:
         table = V.GOAL_WEIGHTS[goal]
         weight = F
         for value in sorted(set(table.values()), reverse=True):
-            members = F.array(*[F.lit(t) for t, w in table.items() if w == value])
-            weight = weight.when(F.arrays_overlap(tags, members), F.lit(float(value)))
+            members = sum(TAG_BITS[t] for t, w in table.items() if w == value)
+            weight = weight.when(mask.bitwiseAND(members) != 0, F.lit(float(value)))
         weights.append(weight.otherwise(F.lit(0.0)))
     return F.array(*weights)
 

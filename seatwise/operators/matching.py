@@ -48,10 +48,11 @@ def with_match_columns(programs: DataFrame) -> DataFrame:
     partition number and the row within it. They are only fixed once the result is written, see
     ``plans.recommend``.
     """
-    columns = programs.withColumns(
+    # sorted first: a range sort evaluates its input twice, once to sample it
+    masked = programs.orderBy(*TIE_BREAK).withColumns(
         {
+            "program_id": F.monotonically_increasing_id(),
             "tag_mask": classify.tag_mask(F.col("tags")),
-            "goal_weights": scoring.goal_weight_array(F.col("tags")),
             "access": eligibility.seat_access(
                 F.col("gender_pool"),
                 F.col("institute_type"),
@@ -60,7 +61,7 @@ def with_match_columns(programs: DataFrame) -> DataFrame:
             ),
         }
     )
-    return columns.orderBy(*TIE_BREAK).withColumn("program_id", F.monotonically_increasing_id())
+    return masked.withColumn("goal_weights", scoring.goal_weight_array(F.col("tag_mask")))
 
 
 def _score_classes() -> Column:

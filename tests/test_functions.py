@@ -232,7 +232,7 @@ def test_gender_rule(spark):
     [(0.9, ["cse"], 0.0, 10.0), (0.7, ["civil"], 1.0, 7.0), (0.8, ["cse"], 0.5, 9.0)],
 )
 def test_score(spark, brand, tags, ratio, score):
-    weight = F.get(scoring.goal_weight_array(c("tags")), scoring.goal_index(F.lit("coding")))
+    weight = F.get(scoring.goal_weight_array(classify.tag_mask(c("tags"))), scoring.goal_index(F.lit("coding")))
     got = scoring.interest_score(weight, c("brand"), c("ratio"))
     assert one(spark, got, brand=brand, tags=tags, ratio=ratio) == score
 
