@@ -47,7 +47,8 @@ def with_ctes(body: str) -> str:
         add(name)
     if not wanted:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in wanted) + "\n" + body
+    recursive = "RECURSIVE " if any(n in _names(CTES[n]) for n in wanted) else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTES[n]})" for n in wanted) + "\n" + body
 
 
 def quoted(text: str) -> str:

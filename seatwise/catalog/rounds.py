@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seatwise import fixtures as fx
 from seatwise.catalog.common import history_text
 from seatwise.catalog.registry import CTES, numeric, pool, query, quoted, trimmed
 from seatwise.dims import tables
-from seatwise.functions import scoring
 from seatwise.operators import cleaning as C, programs as P, rounds as R, summaries as S
+from seatwise.session import shared_folder
+from seatwise.sources import cutoffs as src
 
 CTES["spreads"] = "SELECT CAST(closing_rank - opening_rank AS DOUBLE) AS s FROM programs"
 
@@ -85,16 +88,34 @@ def notebook_sort(spark, sf):
 
 @query(
     "write_last_round",
-    "SELECT year, seat_type, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines "
-    "FROM clean_ends GROUP BY ALL",
+    f"""SELECT year, seat_type, count(*) AS n,
+        CAST(sum({numeric('closing_rank')}) AS BIGINT) AS closing
+    FROM clean_ends WHERE institute IS NOT NULL GROUP BY ALL""",
 )
 def write_last_round(spark, sf):
+    """Written as CSV and read back."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     kept = R.last_round_clean(fx.raw_cutoffs(spark, sf), fx.LINES)
-    return kept.groupBy("year", "seat_type").agg(
-        F.count("*").alias("n"), F.sum("line").alias("lines")
+    src.write_last_round(kept.where("institute is not null").drop(*fx.LINES[1:]), path)
+    typed = C.coerce_numeric(src.read_cutoffs(spark, path), ["year", "closing_rank"])
+    return typed.groupBy("year", "seat_type").agg(
+        F.count("*").alias("n"), F.sum("closing_rank").cast("bigint").alias("closing")
     )
 
 
+@query(
+    "read_cutoffs",
+    f"""SELECT {trimmed('institute')} AS institute, {trimmed('quota')} AS quota, year, round,
+        count(*) AS n FROM raw GROUP BY ALL""",
+)
+def read_cutoffs(spark, sf):
+    """A CSV file with source headers, read by header name."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    src.write_last_round(fx.raw_cutoffs(spark, sf).drop(*fx.LINES[1:]), path)
+    rows = C.trim_strings(src.read_cutoffs(spark, path))
+    return rows.groupBy("institute", "quota", "year", "round").agg(F.count("*").alias("n"))
+
+
 @query(
     "program_history",
     """SELECT institute, program, quota, seat_type, gender_pool,

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seatwise.dims import values as V
 from seatwise.functions import classify, eligibility, scoring
-from seatwise.session import task_count
+from seatwise.session import task_count, written
 
 BINS_PER_OCTAVE = 4
 BROADCAST_ROWS = 1_000_000
@@ -162,15 +162,20 @@ def _exact() -> Column:
 def split_keys(probes: DataFrame, binned: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with a ``cell``: each key's rows form a grid of blocks, each pair has one cell.
 
-    Keys are few (modes x exams x seat types x accesses x bins, whatever the row counts), so the
-    per-key counts are small; they are counted with map-side combine.
+    Keys are few (modes x exams x seat types x accesses x bins, whatever the row counts). They are
+    counted with map-side combine, written once, and broadcast if their number allows it, so that
+    a hot key does not meet its block counts in one task.
     """
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         blocks = F.ceil(F.count("*") / F.lit(block)).cast("int")
         return df.groupBy(*ROUTE).agg(blocks.alias(name))
 
-    grid = counted(probes, "probe_blocks").join(counted(binned, "program_blocks"), ROUTE)
+    grid = written(
+        counted(probes, "probe_blocks").join(counted(binned, "program_blocks"), ROUTE)
+    )
+    if grid.count() <= BROADCAST_ROWS:
+        grid = F.broadcast(grid)
 
     def cells(df: DataFrame, own: str, other: str, own_first: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("profile_id" if own_first else "program_id"), F.col(own))

@@ -110,6 +110,14 @@ def test_seat_categories_and_modes(spark):
     )
     found = recommend(people, seats).groupBy("profile_id").count().collect()
     assert dict(found) == {1: 1, 2: 2}
+    both = ready_seats(
+        seats.select(basic.columns).unionByName(basic).drop("program_id")
+    )
+    mixed = people.withColumn(
+        "data_mode", F.when(F.col("profile_id") == 3, "basic").otherwise("extended")
+    )
+    found = recommend(mixed, both).groupBy("profile_id").count().collect()
+    assert dict(found) == {1: 1, 2: 2, 3: 2}
     in_basic = people.withColumn("data_mode", F.lit("basic"))
     found = recommend(in_basic, basic).groupBy("profile_id").count().collect()
     assert dict(found) == {1: 2, 2: 2, 3: 2}
