@@ -377,11 +377,8 @@ def probability_band(spark, sf):
 def quota_label(spark, sf):
     code = F.coalesce(X.trimmed(F.col("quota")), F.lit("ZZ"))
     codes = fx.raw_cutoffs(spark, sf).groupBy(code.alias("quota")).agg(F.count("*").alias("n"))
-    labelled = results.with_texts(codes.withColumn("lang", F.lit("en")))
-    label = F.coalesce(
-        F.try_element_at("texts", F.concat(F.lit("quota."), "quota")), F.col("quota")
-    )
-    return labelled.select("quota", label.alias("label"), "n")
+    labelled = results.with_quota_label(codes.withColumn("lang", F.lit("en")))
+    return labelled.select("quota", F.col("quota_label").alias("label"), "n")
 
 
 _TYPED = (

@@ -80,10 +80,6 @@ def pool(c: str) -> str:
     return f"CASE WHEN contains({low}, 'female') OR {low} = 'f' THEN 'female' ELSE 'neutral' END"
 
 
-def round_half_up(c: str) -> str:
-    return f"CAST(floor({c} + 0.5) AS BIGINT)"
-
-
 def _select(base: str, tables: dict[str, str], columns: dict[str, str]) -> str:
     joins = " ".join(f"JOIN {name} ON {on}" for name, on in tables.items())
     listed = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())

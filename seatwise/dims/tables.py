@@ -33,20 +33,10 @@ def states(spark: SparkSession) -> DataFrame:
     return literal_table(spark, {"state_order": int, "state": str, "state_lower": str}, rows)
 
 
-def goal_weights(spark: SparkSession) -> DataFrame:
-    rows = [(g, t, float(w)) for g, tags in V.GOAL_WEIGHTS.items() for t, w in tags.items()]
-    return literal_table(spark, {"goal": str, "tag": str, "weight": float}, rows)
-
-
 def goal_labels(spark: SparkSession) -> DataFrame:
     return literal_table(spark, {"goal": str, "goal_label": str}, list(V.GOAL_LABELS.items()))
 
 
-def preference_tags(spark: SparkSession) -> DataFrame:
-    rows = [(p, t) for p, tags in V.PREFERENCE_TAGS.items() for t in tags]
-    return literal_table(spark, {"preference": str, "tag": str}, rows)
-
-
 def wording(spark: SparkSession) -> DataFrame:
     rows = [(lang, k, text) for lang, table in WORDING.items() for k, text in table.items()]
     return literal_table(spark, {"lang": str, "key": str, "text": str}, rows)

@@ -62,6 +62,12 @@ def join_templates(df: DataFrame, lang: str, key: str) -> DataFrame:
     )
 
 
+def with_quota_label(df: DataFrame) -> DataFrame:
+    """``quota_label`` in the row's language; an unknown code is its own label."""
+    label = F.try_element_at("texts", F.concat(F.lit("quota."), "quota"))
+    return with_texts(df).withColumn("quota_label", F.coalesce(label, "quota")).drop("texts")
+
+
 def category_guidance(summary: DataFrame) -> DataFrame:
     """Count and blurb of each category that has rows, in display order."""
     rows = F.array(*[

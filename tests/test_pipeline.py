@@ -398,3 +398,13 @@ def test_links_round_trip(spark):
     columns = ["profile_id", "mains_rank", "adv_rank", "gender", "home_state", "goal",
                "branch_preferences", "region", "brand_branch_ratio", "needle", "type", "lang"]
     assert back.select(*columns).exceptAll(people.select(*columns)).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from seatwise import session
+
+    monkeypatch.setattr(session, "CHECKPOINT_DIR", "spark.not.set")
+    folder = session.shared_folder(spark)
+    assert folder == session.shared_folder(spark)
+    assert session.written(spark.range(3)).count() == 3
+    assert glob.glob(folder + "/*/*.parquet")
