@@ -63,7 +63,8 @@ def pack(rows: DataFrame, length: int = SEQUENCE) -> DataFrame:
     parts = rows.groupBy("part").agg(F.sum("n_ids").alias("held"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("part_start"))
-    placed = rows.join(starts, "part").withColumn("first", F.col("part_start") + F.col("place"))
+    # a row for each task of one stage: less than the driver itself holds for such a task
+    placed = rows.join(F.broadcast(starts), "part").withColumn("first", F.col("part_start") + F.col("place"))
     last = F.col("first") + F.col("n_ids") - 1
     cut = placed.withColumn(
         "sequence_id", F.explode(F.sequence(F.expr(f"first div {length}"), F.floor(last / length)))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from seatwise.llm import perspectives, prefix_bpe
 from seatwise.llm.common import new_folder, table
 from seatwise.llm.exact_dedup import exact_duplicates
+from seatwise.llm.language_cnn import identify_languages
 from seatwise.llm.packing import pack_documents
 from seatwise.llm.token_files import token_file_round_trip
+from seatwise.llm.weighted_minhash import near_duplicate_classes
 from seatwise.llm.warc import archived_pages, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +113,13 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
     )
     return prefix_bpe.digests(encoded)
+
+
+@query
+def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
