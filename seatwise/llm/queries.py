@@ -12,6 +12,7 @@ from seatwise.llm.common import new_folder, table
 from seatwise.llm.exact_dedup import exact_duplicates
 from seatwise.llm.language_cnn import identify_languages
 from seatwise.llm.packing import pack_documents
+from seatwise.llm.suffix_dedup import repeated_passages
 from seatwise.llm.token_files import token_file_round_trip
 from seatwise.llm.weighted_minhash import near_duplicate_classes
 from seatwise.llm.warc import archived_pages, write_archives
@@ -123,3 +124,8 @@ def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
