@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seatwise.llm import perspectives, prefix_bpe
 from seatwise.llm.common import new_folder, table
 from seatwise.llm.exact_dedup import exact_duplicates
 from seatwise.llm.language_cnn import identify_languages
 from seatwise.llm.packing import pack_documents
+from seatwise.llm.permutation_index import nearest
 from seatwise.llm.suffix_dedup import repeated_passages
 from seatwise.llm.token_files import token_file_round_trip
 from seatwise.llm.weighted_minhash import near_duplicate_classes
@@ -129,3 +131,8 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
