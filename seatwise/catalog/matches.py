@@ -29,7 +29,7 @@ def match_programs(spark, sf):
     "SELECT profile_id, category, count(*) AS n FROM matches GROUP BY ALL",
 )
 def match_programs_split(spark, sf):
-    pairs = M.match_programs(fx.profiles(spark, sf), fx.seats(spark, sf), "split")
+    pairs = M.match_programs(fx.profiles(spark, sf), fx.seats(spark, sf), block=50)
     category = F.get(F.array(*map(F.lit, V.CATEGORIES)), "category_no")
     return pairs.groupBy("profile_id", category.alias("category")).agg(F.count("*").alias("n"))
 

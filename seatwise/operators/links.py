@@ -50,20 +50,33 @@ def _leading(c: Column, pattern: str, kind: str) -> Column:
     return F.regexp_extract(trimmed(c), pattern, 1).try_cast(kind)
 
 
+def _decoded(c: Column) -> Column:
+    """Plus signs as spaces and valid escapes decoded; a percent sign of its own stays one."""
+    alone = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(alone), F.replace(c, F.lit("+"), F.lit(" ")))
+
+
 def linked_profiles(links: DataFrame) -> DataFrame:
     """Profiles restored from ``url``; links without parameters are dropped.
 
     Values outside their vocabulary fall back to the default.
     """
-    query = F.try_parse_url("url", F.lit("QUERY"))
-    asked = links.where(F.coalesce(query, F.lit("")) != "")
+    before_fragment = F.substring_index("url", "#", 1)
+    start = F.locate("?", before_fragment)
+    query = F.when(start > 0, F.substring(before_fragment, start + 1, F.length(before_fragment)))
+    asked = links.withColumn("_query", query).where(F.coalesce("_query", F.lit("")) != "")
+    pairs = F.split("_query", "&")
 
     def part(key: str) -> Column:
-        return F.try_url_decode(F.try_parse_url(F.col("url"), F.lit("QUERY"), F.lit(key)))
+        """The first value of a key, decoded like a browser does it."""
+        own = F.filter(pairs, lambda p: _decoded(F.substring_index(p, "=", 1)) == key)
+        first = F.get(own, 0)
+        at = F.locate("=", first)
+        return _decoded(F.when(at > 0, F.substring(first, at + 1, F.length(first))).otherwise(F.when(first.isNotNull(), "")))
 
     raw = asked.withColumns({f"_{k}": part(k) for k in (
         "m", "a", "g", "cat", "s", "goal", "b", "region", "ratio", "q", "t", "lang"
-    )})
+    )}).drop("_query")
 
     def rank(key: str) -> Column:
         value = _leading(F.col(key), _LEADING_INTEGER, "bigint")

@@ -5,12 +5,8 @@ range join, so each program is listed under every logarithmic bin of that interv
 one bin, and the join is an equi-join on (data mode, exam, seat type, access, bin) with the exact
 band as residual. A pair meets in exactly one bin, so none is found twice.
 
-Two ways to run the equi-join:
-
-* ``broadcast`` while the binned programs stay below ``BROADCAST_ROWS`` rows, which is counted;
-  profiles are then shuffled once, by ``profile_id``, and every later step is co-located.
-* ``split`` beyond that: a shuffled join in which the rows of each join key are cut into blocks on
-  both sides, so that no task gets more than about ``block`` x ``block`` rows of a hot key.
+The rows of each join key are cut into blocks on both sides, so that no task gets more than about
+``block`` x ``block`` rows of a hot key. Spark measures the sides and may still broadcast a small one.
 """
 
 from __future__ import annotations
@@ -22,7 +18,6 @@ from seatwise.functions import classify, eligibility, scoring
 from seatwise.session import task_count, written
 
 BINS_PER_OCTAVE = 4
-BROADCAST_ROWS = 1_000_000
 BLOCK_ROWS = 10_000
 _BRAND_UNIT = 1 << 10
 _WEIGHT_UNIT = 1 << 24
@@ -82,13 +77,15 @@ def _class_parts(code: Column) -> tuple[Column, Column, Column, Column]:
     return category.cast("int"), weight, brand, code % _BRAND_UNIT
 
 
-def binned_programs(programs: DataFrame, any_seat_in_extended: bool) -> DataFrame:
-    """Narrow program rows, one per bin and seat key."""
+def binned_programs(programs: DataFrame) -> DataFrame:
+    """Narrow program rows, one per bin and seat key.
+
+    Extended programs are also listed for profiles without a seat category; if there are none, those
+    keys meet no probe and ``split_keys`` drops them.
+    """
     low, high = classify.band_bounds(F.col("opening_rank"), F.col("closing_rank"))
     seat_keys = F.when(F.col("data_mode") == "basic", F.array(F.lit(ANY_SEAT))).otherwise(
         F.array(F.col("seat_type"), F.lit(ANY_SEAT))
-        if any_seat_in_extended
-        else F.array(F.col("seat_type"))
     )
     return (
         programs.select(
@@ -144,11 +141,6 @@ def probes_of(narrow: DataFrame) -> DataFrame:
     return per_exam.select("*", F.explode("reach").alias("access"), bins).drop("reach")
 
 
-def asks_any_seat(profiles: DataFrame) -> bool:
-    """Whether an extended profile has the empty seat category, which means no seat filter."""
-    return not profiles.where("data_mode = 'extended' and seat_category = ''").isEmpty()
-
-
 def _exact() -> Column:
     """What the equi-join on the bins leaves to check."""
     return (
@@ -163,8 +155,7 @@ def split_keys(probes: DataFrame, binned: DataFrame, block: int) -> tuple[DataFr
     """Both sides with a ``cell``: each key's rows form a grid of blocks, each pair has one cell.
 
     Keys are few (modes x exams x seat types x accesses x bins, whatever the row counts). They are
-    counted with map-side combine, written once, and broadcast if their number allows it, so that
-    a hot key does not meet its block counts in one task.
+    counted with map-side combine and written once, so Spark knows their size when it joins them.
     """
 
     def counted(df: DataFrame, name: str) -> DataFrame:
@@ -174,8 +165,6 @@ def split_keys(probes: DataFrame, binned: DataFrame, block: int) -> tuple[DataFr
     grid = written(
         counted(probes, "probe_blocks").join(counted(binned, "program_blocks"), ROUTE)
     )
-    if grid.count() <= BROADCAST_ROWS:
-        grid = F.broadcast(grid)
 
     def cells(df: DataFrame, own: str, other: str, own_first: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("profile_id" if own_first else "program_id"), F.col(own))
@@ -192,14 +181,11 @@ def split_keys(probes: DataFrame, binned: DataFrame, block: int) -> tuple[DataFr
 
 
 def pairs_of(
-    probes: DataFrame, binned: DataFrame, strategy: str, block: int, keep: tuple[str, ...] = ()
+    probes: DataFrame, binned: DataFrame, block: int, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """All eligible pairs inside the band, with the probe columns named in ``keep``."""
-    if strategy == "broadcast":
-        joined = probes.join(F.broadcast(binned), ROUTE)
-    else:
-        left, right = split_keys(probes, binned, block)
-        joined = left.join(right, [*ROUTE, "cell"])
+    left, right = split_keys(probes, binned, block)
+    joined = left.join(right, [*ROUTE, "cell"])
     # inside the band, so the two comparisons decide the category (in display order)
     category_no = (
         F.when(F.col("rank") <= F.col("opening_rank"), 2)
@@ -222,52 +208,12 @@ def pairs_of(
     )
 
 
-def choose_strategy(binned: DataFrame) -> str:
-    """``broadcast`` only if the counted rows stay below the limit."""
-    return "broadcast" if binned.count() <= BROADCAST_ROWS else "split"
-
-
 def match_programs(
-    profiles: DataFrame,
-    programs: DataFrame,
-    strategy: str | None = None,
-    block: int = BLOCK_ROWS,
+    profiles: DataFrame, programs: DataFrame, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Every profile with every program it is eligible for and within the band of."""
-    binned = binned_programs(programs, asks_any_seat(profiles))
-    chosen = strategy or choose_strategy(binned)
-    return pairs_of(probes_of(narrow_profiles(profiles)), binned, chosen, block)
-
-
-def match_programs_unbinned(profiles: DataFrame, programs: DataFrame) -> DataFrame:
-    """The same pairs from the literal predicates: a yardstick for tests and measurements."""
-    p, s = profiles.alias("p"), programs.alias("s")
-    rank = eligibility.relevant_rank(F.col("s.exam"), F.col("p.adv_rank"), F.col("p.mains_rank"))
-    seat = (
-        (F.col("p.data_mode") == "basic")
-        | (F.col("p.seat_category") == "")
-        | (F.col("p.seat_category") == F.col("s.seat_type"))
-    )
-    quota = eligibility.passes_quota(
-        F.col("s.institute_type"),
-        F.col("s.quota"),
-        F.col("s.institute_state"),
-        F.col("p.home_state"),
-    )
-    wanted = classify.preference_mask(F.col("p.branch_preferences"))
-    tags = (wanted == 0) | (wanted.bitwiseAND(F.col("s.tag_mask")) != 0)
-    condition = (
-        (F.col("p.data_mode") == F.col("s.data_mode"))
-        & seat
-        & eligibility.passes_gender(F.col("s.gender_pool"), F.col("p.gender"))
-        & quota
-        & tags
-        & classify.in_band(rank, F.col("s.opening_rank"), F.col("s.closing_rank"))
-    )
-    category = classify.rank_category(rank, F.col("s.opening_rank"), F.col("s.closing_rank"))
-    return p.join(s, condition).select(
-        "p.profile_id", "s.program_id", "s.exam", rank.alias("rank"), category.alias("category")
-    )
+    narrow = written(narrow_profiles(profiles))
+    return pairs_of(probes_of(narrow), binned_programs(programs), block)
 
 
 def _cutoffs(pairs: DataFrame, narrow: DataFrame) -> DataFrame:
@@ -332,7 +278,6 @@ def _within_cutoff() -> Column:
 def top_matches(
     profiles: DataFrame,
     programs: DataFrame,
-    strategy: str | None = None,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The first ``max_results`` matches per profile with all program columns and the total.
@@ -341,13 +286,12 @@ def top_matches(
     counts, the second keeps what can be in the top N. Only those rows are sorted, and only the
     top N meet the wide program columns.
     """
-    binned = binned_programs(programs, asks_any_seat(profiles))
-    chosen = strategy or choose_strategy(binned)
-    narrow = narrow_profiles(profiles)
-    cutoffs = _cutoffs(pairs_of(probes_of(narrow), binned, chosen, block), narrow)
+    binned = binned_programs(programs)
+    narrow = written(narrow_profiles(profiles))
+    cutoffs = _cutoffs(pairs_of(probes_of(narrow), binned, block), narrow)
     bounded = probes_of(narrow.join(cutoffs, "profile_id"))
     bounds = ("total", "worst_category", "worst_score", "worst_closing")
-    near = pairs_of(bounded, binned, chosen, block, keep=bounds)
+    near = pairs_of(bounded, binned, block, keep=bounds)
     score = scoring.interest_score(F.col("weight"), F.col("brand_score"), F.col("ratio"))
     position = F.row_number().over(
         Window.partitionBy("profile_id").orderBy(
@@ -368,11 +312,7 @@ def top_matches(
             score.alias("interest_score"),
         )
         .withColumn("position", position)
-        # the literal cap lets Spark cut each sort at the cap; the column applies the own limit
-        .where(
-            (F.col("position") <= V.MAX_RESULTS_CAP)
-            & (F.col("position") <= F.col("max_results"))
-        )
+        .where(F.col("position") <= F.col("max_results"))
         .drop("max_results", "closing_rank")
     )
     seats = programs.drop("data_mode", "tag_mask", "goal_weights", "access")

@@ -61,8 +61,15 @@ def rejection_reason():
 
 
 def validate_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid profiles with canonical states, and rejected ones with a ``reason``."""
-    checked = with_defaults(profiles).withColumn("reason", rejection_reason())
+    """Valid profiles with canonical states, and rejected ones with a ``reason``.
+
+    All profiles of an id that occurs more than once are rejected.
+    """
+    ids = profiles.groupBy("profile_id").agg((F.count("*") > 1).alias("_again"))
+    repeated = ids.where("_again").select(F.col("profile_id").alias("_id"), "_again")
+    checked = with_defaults(profiles).join(repeated, F.col("profile_id") == F.col("_id"), "left")
+    own = F.when(F.col("profile_id").isNull(), "profile_id").when(F.col("_again"), "profile_id repeated")
+    checked = checked.withColumn("reason", F.coalesce(own, rejection_reason())).drop("_id", "_again")
     valid = checked.where("reason is null").drop("reason")
     return canonical_state(valid), checked.where("reason is not null")
 

@@ -9,6 +9,7 @@ from seatwise.functions import classify, scoring
 from seatwise.operators import matching, programs as P, results, rounds
 from seatwise.operators.cleaning import typed_cutoffs
 from seatwise.session import written
+from seatwise.sources.cutoffs import effective_mode
 
 
 def extended_programs(
@@ -49,10 +50,20 @@ def ready_seats(seats: DataFrame) -> DataFrame:
 
 
 def recommend(
-    profiles: DataFrame, seats: DataFrame, strategy: str | None = None, texts: bool = True
+    profiles: DataFrame,
+    seats: DataFrame,
+    texts: bool = True,
+    allow_toggle: bool = True,
+    default: str = "basic",
 ) -> DataFrame:
-    """Top recommendations per valid profile; ``seats`` comes from ``ready_seats``."""
-    top = matching.top_matches(profiles, seats, strategy).withColumn(
+    """Top recommendations per valid profile; ``seats`` comes from ``ready_seats`` or ``ingest``.
+
+    A profile is matched with the seats of the dataset it asks for, or of ``default`` if the caller
+    does not allow a choice; any other mode means basic.
+    """
+    mode = effective_mode(F.col("data_mode"), allow_toggle, default)
+    profiles = profiles.withColumn("data_mode", mode)
+    top = matching.top_matches(profiles, seats).withColumn(
         "admission_probability",
         scoring.admission_probability(F.col("rank"), F.col("closing_rank"), F.col("sigma")),
     )
@@ -61,7 +72,16 @@ def recommend(
     return results.with_reason(top.join(profiles.select("profile_id", "lang"), "profile_id"))
 
 
-def ingest(raw: DataFrame, year: int = V.DEFAULT_YEAR, lines: list[str] = ("line",)) -> DataFrame:
-    """Raw multi-year rows to the written seat table."""
+def ingest(
+    raw: DataFrame,
+    year: int = V.DEFAULT_YEAR,
+    lines: list[str] = ("line",),
+    snapshot: DataFrame | None = None,
+) -> DataFrame:
+    """Raw multi-year rows, and a raw single-year table for basic mode, to the written seat table."""
     typed = written(typed_cutoffs(raw, year), ["year"])
-    return ready_seats(extended_programs(typed, year, lines))
+    seats = extended_programs(typed, year, lines)
+    if snapshot is not None:
+        basic = basic_programs(typed_cutoffs(snapshot, year), year)
+        seats = seats.unionByName(basic, allowMissingColumns=True)
+    return ready_seats(seats)

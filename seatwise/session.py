@@ -40,17 +40,12 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        # a partition's rows meet in few tasks, and Spark splits those that are large
+        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when its scan has fewer splits than that, else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def task_count(spark: SparkSession) -> int:
     """Number of tasks for work that is heavy per input row."""
     return max(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from seatwise.dims import values as V
 from seatwise.operators.choices import numbered_choices
@@ -27,16 +29,62 @@ def rename_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({**V.SOURCE_COLUMNS, **V.OPTIONAL_SOURCE_COLUMNS})
 
 
-def read_cutoffs(spark: SparkSession, path: str, with_line: bool = False) -> DataFrame:
+def read_cutoffs(
+    spark: SparkSession,
+    path: str,
+    with_line: bool = False,
+    format: str | None = None,
+    multiline: bool = False,
+) -> DataFrame:
     """A multi-year cutoff table, every column a string, missing texts as null.
 
-    CSV columns are found by header name. ``with_line`` adds an orderable ``line`` that follows
-    the source order, which decides ties between rows of one round.
+    ``format`` is ``csv`` or ``parquet``; without it the ending of the path decides. CSV columns are
+    found by the header of each file, so files may order them differently. A record that spans lines
+    needs ``multiline`` (files are then read whole); without it such a record is an error.
+    ``with_line`` adds an orderable ``line`` that follows the source order, which decides ties
+    between rows of one round.
     """
-    if path.rstrip("/").endswith(".parquet"):
-        df = spark.read.parquet(path)
-    else:
-        df = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    kind = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if kind == "parquet":
+        return _source_columns(spark.read.parquet(path), with_line)
+    tables = [
+        _source_columns(_csv_files(spark, header, files, multiline), with_line)
+        for header, files in _headers(spark, path).items()
+    ]
+    df = tables[0]
+    for other in tables[1:]:
+        df = df.unionByName(other, allowMissingColumns=True)
+    return df
+
+
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of each header line. As in listing them, the driver gets a row per file."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        found.setdefault(row["header"], []).append(row["file"])
+    if not found:
+        raise ValueError(f"no header in {path}")
+    return found
+
+
+def _csv_files(spark: SparkSession, header: str, files: list[str], multiline: bool) -> DataFrame:
+    """Files of one header, which Spark checks against each of them."""
+    fields = next(csv.reader([header.removeprefix("\ufeff")]))
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    # a record that was cut at a line break has too few fields
+    reader = reader.option("escape", '"').option("multiLine", multiline).option("mode", "FAILFAST")
+    return reader.csv(files)
+
+
+def _source_columns(df: DataFrame, with_line: bool) -> DataFrame:
     require_columns(df, list(V.SOURCE_COLUMNS))
     columns = [_present(c).alias(c) for c in df.columns]
     if with_line:
@@ -58,9 +106,9 @@ def _present(name: str) -> Column:
     return F.when(~text.isin(MISSING_TEXTS), text)
 
 
-def read_snapshot(spark: SparkSession, path: str, with_line: bool = False) -> DataFrame:
-    """A single-year table without year and round."""
-    return read_cutoffs(spark, path, with_line).drop("year", "round")
+def read_snapshot(spark: SparkSession, path: str, with_line: bool = False, **options) -> DataFrame:
+    """A single-year table without year and round; ``options`` as for ``read_cutoffs``."""
+    return read_cutoffs(spark, path, with_line, **options).drop("year", "round")
 
 
 def effective_mode(requested: Column, allow_toggle: bool, default: str) -> Column:
@@ -86,7 +134,7 @@ def materialise(df: DataFrame, path: str | None = None, by: str | None = "year")
     parts = [by] if by and by in df.columns else []
     if path is None:
         return written(df, parts)
-    writer = df.write.partitionBy(*parts) if parts else df.write
+    writer = df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -119,20 +167,24 @@ def choice_lines(choices: DataFrame) -> DataFrame:
 EXPORT_HEADER = "Preference Number,Institute,Branch,Degree,Category"
 
 
-def export_choices(choices: DataFrame, path: str) -> None:
-    """One folder per user, whose text files hold the header and the numbered choices.
+def export_choices(choices: DataFrame, path: str, users: list[int] | None = None) -> None:
+    """Text files with the header and the numbered choices of each user, in order.
 
-    Range partitioning keeps a user's lines in file order even when they span several files.
+    Range partitioning keeps a user's lines in file order even when they span several files. Each
+    line starts with the user; only for a given, short list of ``users`` there is a folder each.
     """
     lines = choice_lines(choices)
+    if users is not None:
+        lines = lines.where(F.col("user_id").isin(users))
     header = lines.where("position = 1").select(
         "user_id", F.lit(0).alias("position"), F.lit(EXPORT_HEADER).alias("line")
     )
-    (
+    ordered = (
         lines.unionByName(header)
         .repartitionByRange("user_id", "position")
         .sortWithinPartitions("user_id", "position")
-        .select("user_id", "line")
-        .write.partitionBy("user_id")
-        .text(path)
     )
+    if users is not None:
+        ordered.select("user_id", "line").write.partitionBy("user_id").text(path)
+    else:
+        ordered.select(F.concat_ws(",", F.col("user_id").cast("string"), "line")).write.text(path)

@@ -1,8 +1,9 @@
 """Small tables for tests."""
 
-from seatwise.functions import classify
+from pyspark.sql import DataFrame, functions as F
+
+from seatwise.functions import classify, eligibility
 from seatwise.plans.recommend import ready_seats, seat_table
-from pyspark.sql import functions as F
 
 PROGRAM = {
     "institute": "Test Institute",
@@ -66,3 +67,34 @@ def one(spark, column, **values):
     schema = ", ".join(f"{k} {kinds.get(type(v), 'string')}" for k, v in values.items())
     row = tuple(values.values()) or (1,)
     return spark.createDataFrame([row], schema or "x bigint").select(column).first()[0]
+
+
+def match_programs_unbinned(profiles: DataFrame, programs: DataFrame) -> DataFrame:
+    """The pairs of ``match_programs`` from the literal predicates."""
+    p, s = profiles.alias("p"), programs.alias("s")
+    rank = eligibility.relevant_rank(F.col("s.exam"), F.col("p.adv_rank"), F.col("p.mains_rank"))
+    seat = (
+        (F.col("p.data_mode") == "basic")
+        | (F.col("p.seat_category") == "")
+        | (F.col("p.seat_category") == F.col("s.seat_type"))
+    )
+    quota = eligibility.passes_quota(
+        F.col("s.institute_type"),
+        F.col("s.quota"),
+        F.col("s.institute_state"),
+        F.col("p.home_state"),
+    )
+    wanted = classify.preference_mask(F.col("p.branch_preferences"))
+    tags = (wanted == 0) | (wanted.bitwiseAND(F.col("s.tag_mask")) != 0)
+    condition = (
+        (F.col("p.data_mode") == F.col("s.data_mode"))
+        & seat
+        & eligibility.passes_gender(F.col("s.gender_pool"), F.col("p.gender"))
+        & quota
+        & tags
+        & classify.in_band(rank, F.col("s.opening_rank"), F.col("s.closing_rank"))
+    )
+    category = classify.rank_category(rank, F.col("s.opening_rank"), F.col("s.closing_rank"))
+    return p.join(s, condition).select(
+        "p.profile_id", "s.program_id", "s.exam", rank.alias("rank"), category.alias("category")
+    )

@@ -19,22 +19,22 @@ def pairs(df):
 
 
 def test_matching_paths_agree(spark, sf_dir):
-    """Broadcast, split and literal predicates find the same pairs, each once."""
+    """The binned join, with large and small blocks, and literal predicates find the same pairs, each once."""
     seats = fx.seats(spark, sf_dir)
     people = fx.profiles(spark, sf_dir, preferences=True)
-    literal = pairs(M.match_programs_unbinned(people, seats))
+    literal = pairs(H.match_programs_unbinned(people, seats))
     assert literal
-    assert pairs(M.match_programs(people, seats, "broadcast")) == literal
-    assert pairs(M.match_programs(people, seats, "split", block=3)) == literal
+    assert pairs(M.match_programs(people, seats)) == literal
+    assert pairs(M.match_programs(people, seats, block=3)) == literal
 
 
 def test_hot_key(spark):
     """All profiles and programs on one join key still make every pair once."""
     seats = H.seats(spark, *[{"institute": f"I{i}"} for i in range(70)])
     people = H.profiles(spark, *[{"profile_id": i} for i in range(50)])
-    got = pairs(M.match_programs(people, seats, "split", block=8))
+    got = pairs(M.match_programs(people, seats, block=8))
     assert len(got) == len(set(got)) == 70 * 50
-    binned = M.binned_programs(seats, False)
+    binned = M.binned_programs(seats)
     left, right = M.split_keys(M.probes_of(M.narrow_profiles(people)), binned, 8)
     worst = right.groupBy(*M.ROUTE, "cell").count().agg(F.max("count")).first()[0]
     assert worst < 35
@@ -43,9 +43,9 @@ def test_hot_key(spark):
 def test_top_n_is_exact(spark, sf_dir):
     """The counted bound never loses a row: compared with ranking all pairs."""
     seats = fx.seats(spark, sf_dir)
-    for limit in (1, 7, 300):
+    for limit, block in ((1, 3), (7, 10_000), (500, 20)):
         people = fx.profiles(spark, sf_dir).withColumn("max_results", F.lit(limit))
-        got = M.top_matches(people, seats).select("profile_id", "position", "institute", "total")
+        got = M.top_matches(people, seats, block).select("profile_id", "position", "institute", "total")
         allpairs = M.match_programs(people, seats).join(
             seats.select("program_id", "institute"), "program_id"
         )
@@ -375,7 +375,7 @@ def test_export(spark, tmp_path):
         rows, "user_id bigint, institute string, branch string, degree string, category string, seq bigint"
     )
     path = str(tmp_path / "csv")
-    src.export_choices(df, path)
+    src.export_choices(df, path, [1])
     lines = [
         line for f in sorted(glob.glob(path + "/user_id=1/*.txt")) for line in open(f).read().splitlines()
     ]
@@ -386,6 +386,77 @@ def test_export(spark, tmp_path):
     ]
 
 
+def test_export_of_all_users(spark, tmp_path):
+    rows = [(u, "I", "B", "D", "Safe", u) for u in (3, 1)]
+    df = spark.createDataFrame(
+        rows, "user_id bigint, institute string, branch string, degree string, category string, seq bigint"
+    )
+    src.export_choices(df, str(tmp_path / "csv"))
+    files = sorted(glob.glob(str(tmp_path / "csv/*.txt")))
+    lines = [line for f in files for line in open(f).read().splitlines()]
+    assert lines == [
+        f"1,{src.EXPORT_HEADER}", '1,1,"I","B","D","Safe"', f"3,{src.EXPORT_HEADER}", '3,1,"I","B","D","Safe"'
+    ]
+
+
+def test_links_like_a_browser(spark):
+    """Odd characters, stray percent signs, repeated keys and fragments lose no link."""
+    base = "https://example.org/"
+    urls = {
+        "?m=5&q=a b": "a b", "?m=5&q=100%": "100%", "?m=5&q=x|y": "x|y", "?m=5&q=%zz": "%zz",
+        "?m=5&q=a+b%20c&q=later#q=frag": "a b c", "?m=5&q": "", "?m=5&q=a=b": "a=b", "?%6d=5&q=%C3%A9": "é",
+    }
+    rows = [(base + u, w) for u, w in urls.items()] + [(base, "none"), (base + "#?m=5", "none"), (base + "?", "none")]
+    df = spark.createDataFrame(rows, "url string, expected string")
+    got = links.linked_profiles(df).collect()
+    assert sorted((r.expected, r.needle, r.mains_rank) for r in got) == sorted((w, w, 5) for w in urls.values())
+
+
+def test_files_with_other_columns_and_line_breaks(spark, tmp_path):
+    one, two = tmp_path / "in/a.csv", tmp_path / "in/b.csv"
+    one.parent.mkdir()
+    names = list(V.SOURCE_COLUMNS)
+    one.write_text(",".join(names) + "\n" + ",".join(f"x{n}" for n in names) + "\n")
+    other = names[::-1]
+    two.write_text(",".join(other) + "\n" + ",".join(f'"y\n{n}"' for n in other) + "\n")
+    rows = src.read_cutoffs(spark, str(one.parent), with_line=True, multiline=True).orderBy("line").collect()
+    assert len(rows) == 2
+    for source, name in V.SOURCE_COLUMNS.items():
+        assert (rows[0][name], rows[1][name]) == (f"x{source}", f"y\n{source}")
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        src.read_cutoffs(spark, str(two)).collect()
+    src.read_cutoffs(spark, str(one)).write.parquet(str(tmp_path / "kept"))
+    back = spark.read.parquet(str(tmp_path / "kept")).withColumnsRenamed({v: k for k, v in V.SOURCE_COLUMNS.items()})
+    back.write.parquet(str(tmp_path / "plain"))
+    assert src.read_cutoffs(spark, str(tmp_path / "plain"), format="parquet").count() == 1
+
+
+def test_both_datasets_from_files(spark, tmp_path):
+    """The example of the README: profiles get the dataset they ask for, and basic by default."""
+    multi, single = tmp_path / "multi.csv", tmp_path / "single.csv"
+    head = "Institute,Academic Program Name,Quota,Seat Type,Gender,Opening Rank,Closing Rank"
+    multi.write_text(f"{head},Year,Round\nI2,P (B),AI,OPEN,F,1000,2000,2025,1\n")
+    single.write_text(f"{head}\nI1,P (B),AI,OPEN,Gender-Neutral,1000,2000\n")
+    seats = ingest(
+        src.read_cutoffs(spark, str(multi), with_line=True), snapshot=src.read_snapshot(spark, str(single))
+    )
+    rows = [(1, None), (2, "extended"), (3, "basic")]
+    people = H.profiles(spark, *[{"profile_id": i, "data_mode": m, "gender": "female"} for i, m in rows])
+    valid, rejected = PR.validate_profiles(people)
+    found = lambda **k: sorted((r.profile_id, r.institute) for r in recommend(valid, seats, **k).collect())
+    assert rejected.count() == 0
+    assert found() == [(1, "I1"), (2, "I2"), (3, "I1")]
+    assert found(allow_toggle=False) == [(1, "I1"), (2, "I1"), (3, "I1")]
+    assert found(allow_toggle=False, default="extended") == [(1, "I2"), (2, "I2"), (3, "I2")]
+
+
+def test_repeated_profiles_are_rejected(spark):
+    people = H.profiles(spark, {"profile_id": 1}, {"profile_id": 1}, {"profile_id": 2}, {"profile_id": None})
+    valid, rejected = PR.validate_profiles(people)
+    assert [r.profile_id for r in valid.collect()] == [2]
+    assert sorted(r.reason for r in rejected.collect()) == ["profile_id", "profile_id repeated", "profile_id repeated"]
+
+
 def test_links_round_trip(spark):
     people = H.profiles(
         spark,
