@@ -9,6 +9,7 @@ from seatwise.catalog.common import applications, tagged_applications
 from seatwise.catalog.registry import (
     CATEGORY, CONFIDENCE, CTES, METRO, REGION, query, quoted, trimmed, values_table,
 )
+from seatwise.dims.wording import GOAL_LABELS
 from seatwise.dims import tables, values as V
 from seatwise.functions import classify, eligibility, scoring, text as X
 from seatwise.operators import profiles as PR, programs as P, results
@@ -435,7 +436,7 @@ def canonical_state(spark, sf):
     return PR.canonical_state(people)
 
 
-CTES["goal_names"] = values_table(list(V.GOAL_LABELS.items()), "goal, label")
+CTES["goal_names"] = values_table(list(GOAL_LABELS.items()), "goal, label")
 
 
 @query(

@@ -135,11 +135,11 @@ def materialised(spark, sf):
 
 
 @query(
-    "load_programs",
+    "effective_mode",
     "SELECT profile_id, CASE WHEN profile_id % 3 = 0 THEN 'extended' ELSE 'basic' END AS mode "
     "FROM profiles",
 )
-def load_programs_mode(spark, sf):
+def effective_modes(spark, sf):
     asked = F.when(F.col("profile_id") % 3 == 0, "extended").when(
         F.col("profile_id") % 3 == 1, "basic"
     )

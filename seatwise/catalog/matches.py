@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from seatwise import fixtures as fx
 from seatwise.catalog.common import history_text, recs
 from seatwise.catalog.registry import CTES, query
 from seatwise.dims import values as V
 from seatwise.operators import matching as M, results, views
+from seatwise.plans.recommend import ready_seats, recommend as recommended, seat_table
 
 _ID = "profile_id, position"
 _SEAT = "institute, branch, quota, gender_pool, seat_type"
 
 
-@query(
-    "match_programs",
-    "SELECT profile_id, category, count(*) AS n FROM matches GROUP BY ALL",
-)
-def match_programs(spark, sf):
-    pairs = M.match_programs(fx.profiles(spark, sf), fx.seats(spark, sf))
+_PAIRS = """SELECT profile_id, category, count(*) AS n, CAST(sum(closing_rank) AS BIGINT) AS closing,
+    CAST(sum(rank * (closing_rank % 1009)) AS BIGINT) AS mixed FROM matches GROUP BY ALL"""
+
+
+def _pairs(spark, sf, **options):
+    pairs = M.match_programs(fx.profiles(spark, sf), fx.seats(spark, sf), **options)
     category = F.get(F.array(*map(F.lit, V.CATEGORIES)), "category_no")
-    return pairs.groupBy("profile_id", category.alias("category")).agg(F.count("*").alias("n"))
+    return pairs.groupBy("profile_id", category.alias("category")).agg(
+        F.count("*").alias("n"),
+        F.sum("closing_rank").cast("bigint").alias("closing"),
+        F.sum(F.col("rank") * (F.col("closing_rank") % 1009)).cast("bigint").alias("mixed"),
+    )
 
 
-@query(
-    "match_programs_split",
-    "SELECT profile_id, category, count(*) AS n FROM matches GROUP BY ALL",
-)
+@query("match_programs", _PAIRS)
+def match_programs(spark, sf):
+    return _pairs(spark, sf)
+
+
+@query("match_programs_split", _PAIRS)
 def match_programs_split(spark, sf):
-    pairs = M.match_programs(fx.profiles(spark, sf), fx.seats(spark, sf), block=50)
-    category = F.get(F.array(*map(F.lit, V.CATEGORIES)), "category_no")
-    return pairs.groupBy("profile_id", category.alias("category")).agg(F.count("*").alias("n"))
+    """The same with small blocks, so that every key is cut."""
+    return _pairs(spark, sf, block=50)
 
 
 @query(
@@ -44,23 +52,51 @@ def rank_recommendations(spark, sf):
     )
 
 
-@query(
-    "top_n",
-    """SELECT profile_id, position, category, interest_score, closing_rank FROM (
+_TOP = """SELECT profile_id, position, category, interest_score, closing_rank FROM (
         SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY
             CASE category WHEN 'Target' THEN 0 WHEN 'Reach' THEN 1 ELSE 2 END,
             interest_score DESC, closing_rank, institute, branch, branch_full, quota,
             gender_pool, seat_type, opening_rank) AS position FROM choosy_matches)
-    WHERE position <= 1 + profile_id % 30""",
-)
-def top_n(spark, sf):
+    WHERE position <= 1 + profile_id % 30"""
+
+
+def _top(spark, sf, **options):
     limit = (1 + F.col("profile_id") % 30).cast("int")
     people = fx.profiles(spark, sf, preferences=True).withColumn("max_results", limit)
-    return M.top_matches(people, fx.seats(spark, sf)).select(
+    return M.top_matches(people, fx.seats(spark, sf), **options).select(
         "profile_id", "position", "category", "interest_score", "closing_rank"
     )
 
 
+@query("top_n", _TOP)
+def top_n(spark, sf):
+    return _top(spark, sf)
+
+
+@query("top_n_split", _TOP)
+def top_n_split(spark, sf):
+    """The same with small blocks, so that every key is cut."""
+    return _top(spark, sf, block=50)
+
+
+_SHORT = "profile_id, position, institute, branch, seat_type, category, interest_score, total"
+
+
+@query("recommend_any_seat", f"SELECT {_SHORT} FROM any_recs")
+def recommend_any_seat(spark, sf):
+    """Profiles without a seat category see the seats of all."""
+    people = fx.profiles(spark, sf).withColumn("seat_category", F.lit(""))
+    return recommended(people, fx.seats(spark, sf), texts=False).select(*_SHORT.split(", "))
+
+
+@query("recommend_basic", f"SELECT {_SHORT} FROM any_recs")
+def recommend_basic(spark, sf):
+    """Locked to the basic dataset: no seat filter, whatever the profile asks for."""
+    seats = ready_seats(seat_table(fx.programs(spark, sf), "basic", None, fx.YEAR))
+    found = recommended(fx.profiles(spark, sf), seats, texts=False, allow_toggle=False)
+    return found.select(*_SHORT.split(", "))
+
+
 @query(
     "recommend",
     f"""SELECT {_ID}, {_SEAT}, institute_type, institute_state, exam, branch_full, degree,
@@ -86,10 +122,19 @@ def type_filter(spark, sf):
     return views.type_filter(recs(spark, sf), "NIT").select(*_ID.split(", "), "institute")
 
 
-# fixture states have no region of their own, so every row counts as northeast
-@query("region_filter", f"SELECT {_ID}, institute FROM recs WHERE region = 'northeast'")
+@query(
+    "region_filter",
+    f"""SELECT {_ID}, institute, 'south' AS asked FROM recs WHERE region = 'south'
+    UNION ALL SELECT {_ID}, institute, 'metro' FROM recs WHERE is_metro""",
+)
 def region_filter(spark, sf):
-    return views.region_filter(recs(spark, sf), "northeast").select(*_ID.split(", "), "institute")
+    found = recs(spark, sf)
+    return functools.reduce(DataFrame.unionByName, [
+        views.region_filter(found, region).select(
+            *_ID.split(", "), "institute", F.lit(region).alias("asked")
+        )
+        for region in ("south", "metro")
+    ])
 
 
 @query(

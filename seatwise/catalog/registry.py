@@ -192,11 +192,11 @@ CONFIDENCE = (
 PROBABILITY = "round(1.0 / (1.0 + exp(-1.7 * ((closing_rank - rank) / sigma))) * 100.0, 1)"
 
 
-def matched(profiles: str) -> str:
+def matched(profiles: str, seat: str = "s.seat_type = p.seat_category") -> str:
     return f"""
     SELECT p.profile_id, p.lang, p.max_results, p.goal, p.brand_branch_ratio, s.*,
         CASE WHEN s.exam = 'advanced' THEN p.adv_rank ELSE p.mains_rank END AS rank
-    FROM {profiles} p JOIN seats s ON s.seat_type = p.seat_category
+    FROM {profiles} p JOIN seats s ON {seat}
     WHERE (p.gender = 'female' OR s.gender_pool = 'neutral')
         AND (s.institute_type = 'IIT' OR s.quota = 'AI'
             OR (s.quota = 'HS' AND s.institute_state = p.home_state)
@@ -233,6 +233,9 @@ def ranked(matches: str) -> str:
 CTES["eligible"] = matched("profiles")
 CTES["matches"] = scored("eligible")
 CTES["recs"] = ranked("matches")
+CTES["any_eligible"] = matched("profiles", "s.exam IS NOT NULL")
+CTES["any_matches"] = scored("any_eligible")
+CTES["any_recs"] = ranked("any_matches")
 CTES["choosy_eligible"] = matched("choosy")
 CTES["choosy_matches"] = scored("choosy_eligible")
 CTES["choosy_recs"] = ranked("choosy_matches")

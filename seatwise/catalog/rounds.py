@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 
 from seatwise import fixtures as fx
+from seatwise.dims import values as V
 from seatwise.catalog.common import history_text
 from seatwise.catalog.registry import CTES, numeric, pool, query, quoted, trimmed
 from seatwise.dims import tables
@@ -103,17 +105,90 @@ def write_last_round(spark, sf):
     )
 
 
+def _two_files(spark, sf) -> str:
+    """Raw rows as CSV files of two column orders, one with line breaks in its texts."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = fx.raw_cutoffs(spark, sf)
+    one = rows.where("l_linenumber % 2 = 0").drop(*fx.LINES[1:])
+    two = rows.where("l_linenumber % 2 = 1").drop(*fx.LINES[1:])
+    broken = two.withColumn("program", F.replace("program", F.lit(" ("), F.lit("\n(")))
+    src.write_last_round(one, f"{path}/one")
+    src.write_last_round(broken.select(*broken.columns[::-1]), f"{path}/two")
+    return f"{path}/*"
+
+
+_BROKEN = f"""CASE WHEN l_linenumber % 2 = 1 THEN replace({trimmed('program')}, ' (', chr(10) || '(')
+    ELSE {trimmed('program')} END"""
+
+
 @query(
     "read_cutoffs",
-    f"""SELECT {trimmed('institute')} AS institute, {trimmed('quota')} AS quota, year, round,
-        count(*) AS n FROM raw GROUP BY ALL""",
+    f"""SELECT {trimmed('institute')} AS institute, {_BROKEN} AS program, {trimmed('quota')} AS quota,
+        year, round, count(*) AS n FROM raw GROUP BY ALL""",
 )
 def read_cutoffs(spark, sf):
-    """A CSV file with source headers, read by header name."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    src.write_last_round(fx.raw_cutoffs(spark, sf).drop(*fx.LINES[1:]), path)
-    rows = C.trim_strings(src.read_cutoffs(spark, path))
-    return rows.groupBy("institute", "quota", "year", "round").agg(F.count("*").alias("n"))
+    """CSV files with source headers in different order, read by header name."""
+    rows = C.trim_strings(src.read_cutoffs(spark, _two_files(spark, sf), multiline=True))
+    key = ["institute", "program", "quota", "year", "round"]
+    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+@query(
+    "read_snapshot",
+    f"SELECT {trimmed('institute')} AS institute, {trimmed('seat_type')} AS seat_type, count(*) AS n FROM raw GROUP BY ALL",
+)
+def read_snapshot(spark, sf):
+    """The same files as a single-year table."""
+    rows = C.trim_strings(src.read_snapshot(spark, _two_files(spark, sf), multiline=True))
+    assert not {"year", "round"} & set(rows.columns)
+    return rows.groupBy("institute", "seat_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "rename_columns",
+    "SELECT institute, program, quota, closing_rank FROM cutoffs WHERE year = 1999",
+)
+def rename_columns(spark, sf):
+    """Source headers back to column names."""
+    headers = {v: k for k, v in V.SOURCE_COLUMNS.items()}
+    rows = fx.cutoffs(spark, sf).where("year = 1999").withColumnsRenamed(headers)
+    return src.rename_columns(rows).select("institute", "program", "quota", "closing_rank")
+
+
+@query("require_columns", "SELECT institute, count(*) AS n FROM cutoffs GROUP BY institute")
+def require_columns(spark, sf):
+    rows = src.require_columns(fx.cutoffs(spark, sf), ["institute", "program"])
+    return rows.groupBy("institute").agg(F.count("*").alias("n"))
+
+
+_LOADS = [("extended", True, "basic"), ("other", True, "extended"), ("basic", False, "extended")]
+
+
+@query(
+    "load_programs",
+    " UNION ALL ".join(
+        f"""SELECT '{mode} {allowed} {default}' AS asked, institute, count(*) AS n, sum(closing_rank)::BIGINT AS closing
+        FROM cutoffs WHERE {'year = 1999' if 'extended' == (mode if allowed else default) else 'round = 3'}
+        GROUP BY institute"""
+        for mode, allowed, default in _LOADS
+    ),
+)
+def load_programs(spark, sf):
+    """The table of the mode asked for, or of the default where there is no choice."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    paths = {"extended": f"{folder}/extended", "basic": f"{folder}/basic"}
+    src.materialise(fx.cutoffs(spark, sf).where("year = 1999"), paths["extended"])
+    src.materialise(fx.cutoffs(spark, sf).where("round = 3"), paths["basic"])
+    found = [
+        src.load_programs(spark, paths, mode, allowed, default).withColumn(
+            "asked", F.lit(f"{mode} {allowed} {default}")
+        )
+        for mode, allowed, default in _LOADS
+    ]
+    rows = functools.reduce(lambda a, b: a.unionByName(b), found)
+    return rows.groupBy("asked", "institute").agg(
+        F.count("*").alias("n"), F.sum("closing_rank").cast("bigint").alias("closing")
+    )
 
 
 @query(

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seatwise.dims import values as V
-from seatwise.dims.wording import WORDING
+from seatwise.dims.wording import GOAL_LABELS, SEAT_LABELS, WORDING
 
 _ARROW = {str: pa.string(), int: pa.int32(), float: pa.float64(), bool: pa.bool_()}
 
@@ -34,7 +34,7 @@ def states(spark: SparkSession) -> DataFrame:
 
 
 def goal_labels(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, {"goal": str, "goal_label": str}, list(V.GOAL_LABELS.items()))
+    return literal_table(spark, {"goal": str, "goal_label": str}, list(GOAL_LABELS.items()))
 
 
 def wording(spark: SparkSession) -> DataFrame:
@@ -63,11 +63,11 @@ def wording_maps(spark: SparkSession) -> DataFrame:
 def option_rows() -> list[tuple[str, int, str, str, bool]]:
     """Form options: kind, position, value, label, available without multi-year data."""
     rows = [("state", i, s, s, True) for i, s in enumerate(V.STATES)]
-    rows += [("goal", i, g, V.GOAL_LABELS[g], True) for i, g in enumerate(V.GOALS)]
+    rows += [("goal", i, g, GOAL_LABELS[g], True) for i, g in enumerate(V.GOALS)]
     rows += [("gender", i, g, g, True) for i, g in enumerate(V.GENDERS)]
     rows += [
-        ("category", i, c, label, c == V.DEFAULT_SEAT_CATEGORY)
-        for i, (c, label) in enumerate(V.SEAT_CATEGORIES.items())
+        ("category", i, c, SEAT_LABELS[c], c == V.DEFAULT_SEAT_CATEGORY)
+        for i, c in enumerate(V.SEAT_CATEGORIES)
     ]
     rows += [
         ("branch", i, p, WORDING["en"][f"pref.{p}"], True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seatwise.dims import values as V
 from seatwise.functions import classify
 from seatwise.functions.text import program_branch, program_degree
 from seatwise.operators import programs as P
@@ -16,9 +17,18 @@ from seatwise.plans.recommend import ready_seats, seat_table
 
 YEAR = 2000
 
+
+def _pick(number: str, texts: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts))
+    return f"CASE {number} % {len(texts)} {arms} END"
+
+
+# nations stand for states, so that regions and home-state rules have something to tell apart
+STATE = _pick("n_nationkey", V.STATES[:25])
+
 CUTOFF_COLUMNS = {
     "institute": "s_name",
-    "institute_state": "n_name",
+    "institute_state": STATE,
     "institute_type": "CASE s_suppkey % 4 WHEN 0 THEN 'IIT' WHEN 1 THEN 'NIT' WHEN 2 THEN 'IIIT' "
     "ELSE 'GFTI' END",
     "exam": "CASE WHEN s_suppkey % 4 = 0 THEN 'advanced' ELSE 'mains' END",
@@ -84,11 +94,6 @@ _PROGRAMS = [
 ]
 
 
-def _pick(number: str, texts: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts))
-    return f"CASE {number} % {len(texts)} {arms} END"
-
-
 _SPACED = "CASE l_orderkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN chr(9) ELSE '' END"
 
 # raw text rows as a cutoff file would hold them, with defects
@@ -122,7 +127,7 @@ LINES = ["line", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount",
 
 PROFILE_COLUMNS = {
     "profile_id": "c_custkey",
-    "home_state": "n_name",
+    "home_state": STATE,
     "gender": "CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END",
     "goal": "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'coding' WHEN 'BUILDING' THEN 'research' "
     "WHEN 'FURNITURE' THEN 'mba' WHEN 'HOUSEHOLD' THEN 'core' ELSE 'undecided' END",

@@ -93,7 +93,7 @@ def linked_profiles(links: DataFrame) -> DataFrame:
         # the request sends male for everything but female
         F.when(F.col("_g") == "female", "female").otherwise("male").alias("gender"),
         F.coalesce(
-            listed("_cat", list(V.SEAT_CATEGORIES)), F.lit(V.DEFAULT_SEAT_CATEGORY)
+            listed("_cat", V.SEAT_CATEGORIES), F.lit(V.DEFAULT_SEAT_CATEGORY)
         ).alias("seat_category"),
         F.coalesce(listed("_s", V.STATES), F.lit("")).alias("home_state"),
         listed("_goal", V.GOALS).alias("goal"),
