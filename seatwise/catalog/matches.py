@@ -12,6 +12,7 @@ from seatwise.catalog.registry import CTES, query
 from seatwise.dims import values as V
 from seatwise.operators import matching as M, results, views
 from seatwise.plans.recommend import ready_seats, recommend as recommended, seat_table
+from seatwise.session import written
 
 _ID = "profile_id, position"
 _SEAT = "institute, branch, quota, gender_pool, seat_type"
@@ -271,7 +272,7 @@ def history_timeline(spark, sf):
 )
 def empty_flags(spark, sf):
     people = fx.profiles(spark, sf)
-    found = recs(spark, sf)
+    found = written(recs(spark, sf))
     return views.empty_flags(people, found, views.visible(found, "IIT", "all", "Economics"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seatwise.dims import values as V
 from seatwise.functions import classify, scoring
-from seatwise.operators import matching, programs as P, results, rounds
+from seatwise.operators import matching, programs as P, results, rounds, views
 from seatwise.operators.cleaning import typed_cutoffs
 from seatwise.session import written
 from seatwise.sources.cutoffs import effective_mode
@@ -72,6 +72,27 @@ def recommend(
     return results.with_reason(top.join(profiles.select("profile_id", "lang"), "profile_id"))
 
 
+def respond(profiles: DataFrame, seats: DataFrame, **options) -> dict[str, DataFrame]:
+    """The whole answer to ``profiles``; the matches are made and written once.
+
+    ``rows``, ``counts``, ``notes``, ``guidance``, ``goal_guidance``, ``category_guidance``, ``share``,
+    ``flags`` and ``colleges``; ``options`` as for ``recommend``.
+    """
+    rows = written(recommend(profiles, seats, **options))
+    counts = written(results.result_counts(profiles, rows))
+    return {
+        "rows": rows,
+        "counts": counts,
+        "notes": results.profile_notes(profiles, counts),
+        "guidance": results.guidance_text(counts),
+        "goal_guidance": results.goal_guidance(profiles),
+        "category_guidance": results.category_guidance(counts),
+        "share": results.share_summary(counts, views.top_picks(rows)),
+        "flags": views.empty_flags(profiles, rows, views.visible(rows)),
+        "colleges": views.college_groups(rows),
+    }
+
+
 def ingest(
     raw: DataFrame,
     year: int = V.DEFAULT_YEAR,

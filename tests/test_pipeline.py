@@ -10,7 +10,7 @@ from seatwise.operators import (
     choices as C, cleaning, links, matching as M, profiles as PR, programs as P, results,
     rounds as R, summaries as S,
 )
-from seatwise.plans.recommend import basic_programs, ingest, ready_seats, recommend
+from seatwise.plans.recommend import basic_programs, ingest, ready_seats, recommend, respond
 from seatwise.sources import cutoffs as src
 
 
@@ -365,10 +365,30 @@ def test_numbering_slices(spark):
     df = spark.range(0, 500, 3).select(
         F.lit(1).alias("user_id"), F.col("id").alias("seq")
     )
-    got = C.numbered_by(df, width=10).orderBy("seq").collect()
+    got = C.numbered_by(df).orderBy("seq").collect()
     assert [r.position for r in got] == list(range(1, len(got) + 1))
 
 
+def test_numbering_spreads_one_user(spark):
+    """Sequence numbers far apart, in several ranges."""
+    df = spark.range(0, 3000, numPartitions=6).selectExpr(
+        "cast(id % 2 as int) user_id", "1700000000000000 + id * 1000003 seq"
+    )
+    ranged = df.repartitionByRange(5, "user_id", "seq")
+    got = C.numbered_by(ranged).orderBy("user_id", "seq").collect()
+    assert [r.position for r in got] == [*range(1, 1501)] * 2
+
+
+def test_one_response(spark, sf_dir):
+    people = fx.profiles(spark, sf_dir)
+    answer = respond(people, fx.seats(spark, sf_dir))
+    rows = answer["rows"].count()
+    assert rows and answer["counts"].agg(F.sum("shown")).first()[0] == rows
+    for name in ("share", "flags", "guidance", "goal_guidance"):
+        assert answer[name].count() == people.count(), name
+    assert answer["colleges"].count() and answer["notes"].columns and answer["category_guidance"].count()
+
+
 def test_export(spark, tmp_path):
     rows = [(1, 'I "x", y', "B", "D", "Safe", 5), (1, "J", "B", "D", "Reach", 2)]
     df = spark.createDataFrame(
