@@ -129,6 +129,19 @@ def test_samples_agree_as_often_as_the_weights_overlap():
     assert abs(agree - 446 / 746) < 0.25
 
 
+def test_blocks_of_similarities(monkeypatch, odd_texts):
+    monkeypatch.setattr(weighted_minhash, "FEATURES", 64)
+    idf = np.random.default_rng(1).uniform(1, 9, 1 << weighted_minhash.IDF_BITS)
+    texts = [t or "" for t in odd_texts[6:24]] + ["a b c d e a b c d e a b c d e", "a b c d e a b c d e"]
+    sets = []
+    for text in texts:
+        _, hashes, counts = weighted_minhash.shingles([text])
+        sets.append((hashes, counts * idf[weighted_minhash._bucket(hashes)]))
+    found = weighted_minhash.similarities(texts[:7], texts[7:], idf)
+    want = [[weighted_minhash.weighted_jaccard(a, b) for b in sets[7:]] for a in sets[:7]]
+    assert np.allclose(found, want)
+
+
 def test_a_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
