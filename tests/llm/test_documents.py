@@ -83,6 +83,20 @@ def test_repeated_passages(monkeypatch, odd_docs, no_docs, odd_texts, hot, shard
     assert suffix_dedup.repeated_passages(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_rows_that_share_id_and_text_keep_the_text(monkeypatch, spark, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(4)
+    one, two, three = (" ".join(str(rng.randint(0, 10**6)) for _ in range(40)) for _ in range(3))
+    rows = [(2, one), (2, one), (None, two), (None, two), (None, two), (5, two), (6, one + three), (6, one + three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeated_passages(docs).collect())
+    n, m, both = len(one), len(two), len(one + three)
+    assert found == sorted([(0, m, 0)] * 3 + [(2, n, 0)] * 2 + [(5, m, m)] + [(6, both, n)] * 2)
+    kept = suffix_dedup.remove_repeated_passages(docs).collect()
+    assert sorted(r["text"] for r in kept) == sorted([one] * 2 + [two] * 3 + [""] + [three] * 2)
+
+
 def test_passages_cut_out_of_rows(spark):
     line = "é" * 30 + "".join(chr(97 + k % 26) + str(k) for k in range(60))
     docs = spark.createDataFrame(
