@@ -132,6 +132,43 @@ def test_near_duplicates_against_all_pairs(odd_docs, no_docs, odd_texts):
     assert weighted_minhash.near_duplicate_classes(no_docs).count() == 0
 
 
+def test_weights_are_those_of_each_shingle(monkeypatch, spark):
+    monkeypatch.setattr(weighted_minhash, "RANGE_BYTES", 100_000)
+    monkeypatch.setattr(weighted_minhash, "BATCH", 150)
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 10**7)}" for _ in range(600)) for _ in range(500)]
+    texts += [texts[0], texts[1] + " tail", " ", "", "one two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    have = collections.Counter(h for t in texts for h in weighted_minhash.shingles([t])[1].tolist())
+    assert len(have) > 1 << weighted_minhash.IDF_BITS
+    signed, documents = weighted_minhash.sign(docs)
+    found = {r["doc_id"]: r["frequency"] for r in signed.collect()}
+    assert documents == len(texts) == len(found)
+    for k, text in enumerate(texts):
+        want = [np.log((1 + documents) / (1 + have[h])) + 1 for h in weighted_minhash.shingles([text])[1].tolist()]
+        assert np.allclose(weighted_minhash._unpacked(found[k], documents), want)
+
+
+def test_near_duplicates_with_exact_weights(odd_docs, odd_texts):
+    plain = []
+    for text in odd_texts:
+        words = (text or "").lower().split()
+        n = max(1, len(words) - 4) if words else 0
+        plain.append(collections.Counter(tuple(words[i : i + 5]) for i in range(n)))
+    have = collections.Counter(s for p in plain for s in p)
+    weight = lambda s: np.log((1 + len(plain)) / (1 + have[s])) + 1
+    label = list(range(len(plain)))
+    for a, b in itertools.combinations(label[:], 2):
+        one, two = plain[a], plain[b]
+        both = sum(n * weight(s) for s, n in (one & two).items())
+        either = sum(n * weight(s) for s, n in (one | two).items())
+        if (odd_texts[a] or "") == (odd_texts[b] or "") or both and both / either >= 0.8:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    found = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicate_classes(odd_docs).collect()}
+    assert found == dict(enumerate(label))
+
+
 def test_samples_agree_as_often_as_the_weights_overlap():
     rng = random.Random(6)
     words = [f"w{k}" for k in range(900)]
