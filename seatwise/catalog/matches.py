@@ -53,6 +53,21 @@ def rank_recommendations(spark, sf):
     )
 
 
+@query(
+    "rank_all_matches",
+    f"""SELECT profile_id, row_number() OVER (PARTITION BY profile_id ORDER BY
+            CASE category WHEN 'Target' THEN 0 WHEN 'Reach' THEN 1 ELSE 2 END,
+            interest_score DESC, closing_rank, institute, branch, branch_full, quota,
+            gender_pool, seat_type, opening_rank) AS position,
+        category, interest_score, closing_rank, {_SEAT} FROM matches""",
+)
+def rank_all_matches(spark, sf):
+    """All matches of each profile, not only the first ``max_results``."""
+    return M.rank_all_matches(fx.profiles(spark, sf), fx.seats(spark, sf)).select(
+        *_ID.split(", "), "category", "interest_score", "closing_rank", *_SEAT.split(", ")
+    )
+
+
 _TOP = """SELECT profile_id, position, category, interest_score, closing_rank FROM (
         SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY
             CASE category WHEN 'Target' THEN 0 WHEN 'Reach' THEN 1 ELSE 2 END,

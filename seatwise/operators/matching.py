@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seatwise.dims import values as V
 from seatwise.functions import classify, eligibility, scoring
+from seatwise.operators.choices import numbered_by
 from seatwise.session import task_count, written
 
 BINS_PER_OCTAVE = 4
@@ -320,3 +321,36 @@ def top_matches(
     return (
         ranked.join(seats, "program_id").withColumn("category", category).drop("program_id")
     )
+
+
+def rank_all_matches(
+    profiles: DataFrame, programs: DataFrame, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Every match of every profile with its position, all program columns, and no limit.
+
+    Positions are numbered in sorted ranges, so a profile with many matches is spread over tasks.
+    """
+    score = scoring.interest_score(F.col("weight"), F.col("brand_score"), F.col("ratio"))
+    order = F.struct(
+        "category_no", (-F.col("interest_score")).alias("worse"), "closing_rank", "program_id"
+    )
+    scored = (
+        match_programs(profiles, programs, block)
+        .select(
+            F.col("profile_id").alias("user_id"),
+            "program_id",
+            "closing_rank",
+            "category_no",
+            score.alias("interest_score"),
+        )
+        .withColumn("seq", order)
+    )
+    numbered = numbered_by(scored).withColumnRenamed("user_id", "profile_id")
+    category = F.get(F.array(*map(F.lit, V.CATEGORIES)), "category_no")
+    seats = programs.drop("data_mode", "tag_mask", "goal_weights", "access")
+    return (
+        numbered.drop("seq", "closing_rank")
+        .join(seats, "program_id")
+        .withColumn("category", category)
+        .drop("program_id")
+    )
