@@ -217,5 +217,11 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a letter and a language of at least that score."""
-    return docs.where(classifier(fit(docs))(docs["text"])["score"] >= least_score)
+    """The rows of ``docs``, all columns, whose text has a letter and a language of at least that score.
+
+    If no row has a label to learn from, nothing can be told apart, and every text with a letter stays.
+    """
+    net = fit(docs)
+    if net is None:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
+    return docs.where(classifier(net)(docs["text"])["score"] >= least_score)

@@ -233,6 +233,12 @@ def test_languages(spark, odd_docs, no_docs):
     assert language_cnn.identify_languages(odd_docs).count() == odd_docs.count()
 
 
+def test_without_labels_every_text_with_a_letter_stays(spark):
+    rows = [(1, "some words", None), (2, "12 !?", None), (3, None, None), (4, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_cnn.keep_identified(docs).collect()) == [1, 4]
+
+
 def test_perspectives(spark):
     rows = [
         (1, 0, "system", "be kind", "x"), (1, 1, "ann", "hi", "x"), (1, 2, "bob", None, "x"),
