@@ -169,6 +169,15 @@ def test_near_duplicates_with_exact_weights(odd_docs, odd_texts):
     assert found == dict(enumerate(label))
 
 
+def test_every_unicode_space_separates_words():
+    plain = "Ä b c d e f g h i j k l m n o p q r s t u"
+    _, want, _ = weighted_minhash.shingles([plain])
+    for space in "\u0085\u00a0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\t\n":
+        _, found, _ = weighted_minhash.shingles([plain.replace(" ", space)])
+        assert found.tolist() == want.tolist()
+    assert not len(weighted_minhash.shingles(["\u3000\u00a0"])[1])
+
+
 def test_samples_agree_as_often_as_the_weights_overlap():
     rng = random.Random(6)
     words = [f"w{k}" for k in range(900)]
