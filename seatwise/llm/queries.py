@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import periodic_runs, perspectives, prefix_bpe
+from seatwise.llm import periodic_runs, perspectives, prefix_bpe, turn_repair
 from seatwise.llm.common import new_folder, table
+from seatwise.llm.cover_tree import top_matches
 from seatwise.llm.exact_dedup import exact_duplicates
 from seatwise.llm.language_cnn import identify_languages
 from seatwise.llm.packing import pack_documents
@@ -142,3 +143,30 @@ def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+@query
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x).cast("double"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", whole)
+    found = top_matches(vectors, F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+ORACLES["op13_cover_tree"] = """
+    WITH usable AS (
+        SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vec FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec) AS score
+        FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            vec_id, CAST(score AS BIGINT) AS score FROM scored)
+    SELECT * FROM ranked WHERE rank <= 5"""
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_repair.with_damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair_conversations(turns, copies_col="copies")
