@@ -2,12 +2,14 @@
 
 A space between two characters that are not white space is always a border of the tokenizers' own
 splitting, and a word tokenizer drops white space. So ids of a whole text are the joined ids of its
-pieces, and each distinct piece goes through the tokenizer once while it stays in the cache.
+pieces, and each distinct piece goes through the tokenizer once while it stays in the cache. A text that may hold
+the string of an added token, or this module's own mark, goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,6 +20,7 @@ CACHE_SIZE = 500_000  # pieces of each of two generations; the older is forgotte
 PART_CHARS = 1 << 20  # longer texts are handled in parts
 _MIXED = re.compile(r" \s|\s ")
 _PLAIN = re.compile(r"(?<=\S) (?=\S)")
+LATIN = frozenset(chr(c) for c in range(0x250) if chr(c).isalpha())
 FIRST = "﷐"  # a noncharacter that marks a piece without a space before it
 
 
@@ -37,18 +40,21 @@ class PieceCache:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     ``encode(pieces)`` gives the ids of each piece as such bytes. With ``spaced`` a piece owns the
-    space before it.
+    space before it. A stop or comma after one of ``letters`` is always a piece of its own for the tokenizer.
+    ``whole(text)`` gives the ids of a text that holds one of ``marks``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool):
+    def __init__(
+        self, encode: Callable[[list[str]], list[bytes]], spaced: bool, letters: frozenset[str],
+        whole: Callable[[str], bytes], marks: tuple[str, ...],
+    ):
         self.encode, self.spaced, self.known = encode, spaced, {}
+        self.letters, self.whole, self.marks = letters, whole, (FIRST, *marks)
         self.older: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
         if not self.spaced:
             return text.split(" ")
-        if FIRST in text:
-            return [FIRST + text]
         pieces = _PLAIN.split(text) if _MIXED.search(text) else text.split(" ")
         if pieces[0] or len(pieces) == 1:
             pieces[0] = FIRST + pieces[0]
@@ -60,9 +66,8 @@ class PieceCache:
         """Puts ``pieces`` into the cache; returns those that are too long for it."""
         if len(self.known) + len(pieces - self.known.keys()) > CACHE_SIZE:
             self.older, self.known = self.known, {}
-        # a stop or comma after a Latin letter is always a piece of its own for the tokenizers
         new = self._recalled(pieces - self.known.keys())
-        ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha() and p[-2] < "\u0250"]
+        ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1] in self.letters]
         whole = new.difference(ended)
         stems = self._recalled({p[:-1] for p in ended} - self.known.keys()) - whole
         if ended:
@@ -91,20 +96,27 @@ class PieceCache:
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         for start in range(0, len(texts), 512):
-            yield from self._some(texts[start : start + 512])
+            some = texts[start : start + 512]
+            apart = {k for k, t in enumerate(some) if any(m in t for m in self.marks)}
+            if not apart:
+                yield from self._some(some)
+                continue
+            found = self._some([t for k, t in enumerate(some) if k not in apart])
+            for k, text in enumerate(some):
+                yield self.whole(text) if k in apart else next(found)
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
         if any(len(t) > PART_CHARS for t in texts):
             for text in texts:
-                yield b"".join(self._whole([part]) for part in _parts(text))
+                yield b"".join(self._part(part) for part in _parts(text))
             return
         split = [self._pieces(t) for t in texts]
         extra = self._learn(set().union(*split))
         for pieces in split:
             yield self._join(pieces, extra)
 
-    def _whole(self, texts: list[str]) -> bytes:
-        pieces = self._pieces(texts[0])
+    def _part(self, text: str) -> bytes:
+        pieces = self._pieces(text)
         return self._join(pieces, self._learn(set(pieces)))
 
     def _join(self, pieces: list[str], extra: dict[str, bytes]) -> bytes:
@@ -116,12 +128,10 @@ class PieceCache:
 
 @lru_cache
 def library_encoder(path: str, spaced: bool) -> PieceCache:
-    """The tokenizers library with the file at ``path``; strings of special tokens are ordinary text."""
+    """The tokenizers library with the file at ``path``, with its defaults but for ``add_special_tokens=False``."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
     border = tokenizer.encode(" |", add_special_tokens=False).ids
     if len(border) != 1:
         raise ValueError("' |' must be one token")
@@ -145,4 +155,12 @@ def library_encoder(path: str, spaced: bool) -> PieceCache:
             found[k] = own.tobytes()
         return found
 
-    return PieceCache(encode, spaced)
+    def normal(text: str) -> str:
+        return tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+
+    # letters that stay letters, unlike a capital I with a dot, whose dot becomes a mark that joins the stop
+    letters = frozenset(c for c in LATIN if all(unicodedata.category(n)[0] == "L" for n in normal(c)))
+    # the start of an added token's string up to its first letter, which case or normal form can't change;
+    # with an empty start every text is encoded as a whole
+    starts = {re.match(r"[!-/:-@\[-`{-~]*", t.content)[0] for t in tokenizer.get_added_tokens_decoder().values()}
+    return PieceCache(encode, spaced, letters, lambda text: of([text])[0].tobytes(), tuple(sorted(starts)))

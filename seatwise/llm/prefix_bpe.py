@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.llm.common import whole_text
-from seatwise.llm.piece_cache import PieceCache
+from seatwise.llm.piece_cache import LATIN, PieceCache
 
 PAIRS_KEPT = 1_000_000
 ENCODED = "doc_id long, ids binary, decoded binary"
@@ -132,7 +132,7 @@ def prefix_encoder(path: str, pattern: str) -> PieceCache:
             for piece in pieces
         ]
 
-    return PieceCache(encode, True)
+    return PieceCache(encode, True, LATIN, lambda text: encode([text])[0], ())
 
 
 def decode(ranks: Ranks, ids: bytes) -> bytes:

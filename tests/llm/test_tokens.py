@@ -22,7 +22,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def library_ids(path, texts, end=None):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [np.array(e.ids + ([] if end is None else [end]), "<u4") for e in found]
 
@@ -34,9 +33,12 @@ def test_cached_pieces_are_whole_texts(monkeypatch, odd_texts, path, spaced, siz
     monkeypatch.setattr(piece_cache, "PART_CHARS", part)
     rng = random.Random(1)
     bits = ["a", "b ", " ", "  ", "\n", "'", "s", ".", ",", "|", "é", "1", "!", "\t", "　", "漢", "́", "ing"]
+    bits += ["İ", "TARİHİ", "ß", "Å", "K", "ǆ", "ŉ", "ª", "<|endoftext|>", "<|", "<|STARTOFTEXT|>", piece_cache.FIRST]
     texts = [t or "" for t in odd_texts]
     texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    texts += [piece_cache.FIRST + " x " + piece_cache.FIRST, "\x1c a", " ́a"]
+    texts += ["".join(rng.choice(bits[:-5]) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    texts += [piece_cache.FIRST + " x " + piece_cache.FIRST, "\x1c a", " ́a", "TARİHİ, yeni", "\ufdd0abc end.", "a <|endoftext|> b."]
+    texts += ["".join(chr(rng.randint(32, 0x250)) for _ in range(3)) + rng.choice(".,") for _ in range(5000)]
     cache = piece_cache.library_encoder.__wrapped__(path, spaced)
     assert list(cache.texts(texts)) == [i.tobytes() for i in library_ids(path, texts)]
 
