@@ -1,12 +1,20 @@
 """Profiles x programs: the range-conditioned join and its top-N form.
 
 A program accepts the ranks from half its opening to 1.25 times its closing rank. Catalyst has no
-range join, so each program is listed under every logarithmic bin of that interval, each rank has
-one bin, and the join is an equi-join on (data mode, exam, seat type, access, bin) with the exact
-band as residual. A pair meets in exactly one bin, so none is found twice.
-
-The rows of each join key are cut into blocks on both sides, so that no task gets more than about
-``block`` x ``block`` rows of a hot key. Spark measures the sides and may still broadcast a small one.
+range join. So ranks are cut into octaves, and an octave is a binary tree of a few levels. A program is
+listed at the few nodes that cover its interval, a rank probes the nodes above it: an equi-join on
+(data mode, exam, seat type, access, node). An interval has at most two nodes a level besides whole
+octaves, and a rank meets one of them, so a pair is found once. Only the two leaves at an interval's
+ends also hold ranks outside of it; there the pair is checked.
+
+The top N needs no pass over all pairs. There a program's band is three intervals, one for each category.
+Programs that are alike (node, category, tags, brand, closing step) are counted once for all profiles;
+sums over a rank's nodes are its matches of each kind, and only ranks in a leaf at an end of an interval meet
+programs one by one; a deeper tree makes those few. Pairs are then made in the categories that the top N
+can come from.
+
+The rows of a hot join key are cut into blocks on both sides, so that no task gets more than about
+``block`` x ``block`` of them. Spark measures the sides and may still broadcast a small one.
 """
 
 from __future__ import annotations
@@ -18,8 +26,9 @@ from seatwise.functions import classify, eligibility, scoring
 from seatwise.operators.choices import numbered_by
 from seatwise.session import task_count, written
 
-BINS_PER_OCTAVE = 4
-BLOCK_ROWS = 10_000
+PAIR_DEPTH, COUNT_DEPTH = 2, 5  # binary levels of an octave
+STEPS = 1  # closing steps in an octave
+BLOCK_ROWS = 1_000
 _BRAND_UNIT = 1 << 10
 _WEIGHT_UNIT = 1 << 24
 _CATEGORY_UNIT = 1 << 32
@@ -28,13 +37,41 @@ _CATEGORY_UNIT = 1 << 32
 TIE_BREAK = [
     "institute", "branch", "branch_full", "quota", "gender_pool", "seat_type", "opening_rank",
 ]
-ROUTE = ["data_mode", "exam", "seat_key", "access", "bin"]
+ROUTE = ["data_mode", "exam", "seat_key", "access", "node"]
 ANY_SEAT = "*"
 
 
-def rank_bin(rank: Column) -> Column:
-    value = F.greatest(rank.cast("double"), F.lit(1.0))
-    return F.floor(F.log2(value) * BINS_PER_OCTAVE).cast("int")
+def leaf_of(rank: str, depth: int) -> str:
+    """The leaf of a rank: its octave and the next ``depth`` binary digits. It never falls as ranks grow."""
+    octave = f"CAST(floor(log2(greatest({rank}, 1L))) AS INT)"
+    rest = f"greatest({rank}, 1L) - shiftleft(1L, {octave})"
+    return f"""{octave} * {1 << depth} + CASE WHEN {octave} < {depth}
+        THEN shiftleft({rest}, {depth} - {octave}) ELSE shiftright({rest}, {octave} - {depth}) END"""
+
+
+def node(number: str, level: int, depth: int) -> str:
+    return f"{number} * {depth + 1} + {level}"
+
+
+def covering_nodes(first: str, last: str, depth: int) -> Column:
+    """Nodes whose leaves are those from ``first`` to ``last``, two columns; none if there are no leaves.
+
+    At each level a left end that is a right child, and a right end (exclusive) whose neighbour is a
+    left child, is a node of its own; the rest is covered further up, at last by whole octaves.
+    """
+    found = []
+    for level in range(depth + 1):
+        start = f"shiftright({first} + {(1 << level) - 1}L, {level})"
+        end = f"shiftright({last} + 1L, {level})"
+        if level < depth:
+            found.append(
+                f"""array(CASE WHEN {start} < {end} AND {start} % 2 = 1 THEN {node(start, level, depth)} END,
+                CASE WHEN {start} < {end} AND {end} % 2 = 1 THEN {node(f"({end} - 1L)", level, depth)} END)"""
+            )
+        else:
+            octaves = f"transform(sequence({start}, {end} - 1L), n -> {node('n', level, depth)})"
+            found.append(f"CASE WHEN {start} < {end} THEN {octaves} ELSE array() END")
+    return F.expr(f"array_compact(concat({', '.join(found)}))")
 
 
 def with_match_columns(programs: DataFrame) -> DataFrame:
@@ -63,7 +100,7 @@ def with_match_columns(programs: DataFrame) -> DataFrame:
 def _score_classes() -> Column:
     """Per goal, (tag weight, brand score, closing step) packed into one number to count by."""
     brand = F.floor(F.col("brand_score") * 1000 + 1e-9).cast("bigint")
-    step = F.floor(F.log2(F.greatest("closing_rank", F.lit(1))) * 8).cast("bigint")
+    step = F.floor(F.log2(F.greatest("closing_rank", F.lit(1))) * STEPS).cast("bigint")
     return F.transform(
         "goal_weights",
         lambda w: F.floor(w).cast("bigint") * _WEIGHT_UNIT + brand * _BRAND_UNIT + step,
@@ -78,17 +115,34 @@ def _class_parts(code: Column) -> tuple[Column, Column, Column, Column]:
     return category.cast("int"), weight, brand, code % _BRAND_UNIT
 
 
-def binned_programs(programs: DataFrame) -> DataFrame:
-    """Narrow program rows, one per bin and seat key.
+def listed_programs(
+    programs: DataFrame, profiles: DataFrame, depth: int = PAIR_DEPTH, by_category: bool = False
+) -> DataFrame:
+    """Narrow program rows, one per seat key that ``profiles`` ask for and node of the band.
 
-    Extended programs are also listed for profiles without a seat category; if there are none, those
-    keys meet no probe and ``split_keys`` drops them.
+    With ``by_category`` the band is cut into its categories. Extended programs are also listed for
+    profiles without a seat category. ``at_end`` marks the leaves that ``low`` and ``high`` lie in.
     """
     low, high = classify.band_bounds(F.col("opening_rank"), F.col("closing_rank"))
+    low, high = F.ceil(low).cast("bigint"), F.floor(high).cast("bigint")
     seat_keys = F.when(F.col("data_mode") == "basic", F.array(F.lit(ANY_SEAT))).otherwise(
         F.array(F.col("seat_type"), F.lit(ANY_SEAT))
     )
-    return (
+    opening, closing = F.col("opening_rank"), F.col("closing_rank")
+    later = F.greatest(opening, closing)
+
+    def interval(category: int | None, low: Column, high: Column) -> Column:
+        number = F.lit(category).cast("int").alias("category_no")
+        return F.struct(number, low.alias("low"), high.alias("high"))
+
+    # in display order: Target, Reach, Safe
+    intervals = [
+        interval(0, F.greatest(low, opening + 1), F.least(closing, high)),
+        interval(1, F.greatest(low, later + 1), high),
+        interval(2, low, F.least(opening, high)),
+    ]
+    asked = profiles.select("data_mode", "seat_key").distinct()
+    ends = (
         programs.select(
             "data_mode",
             "exam",
@@ -103,14 +157,22 @@ def binned_programs(programs: DataFrame) -> DataFrame:
             F.when(F.endswith("access", F.lit("|out")), F.col("institute_state")).alias(
                 "barred_state"
             ),
-            low.alias("low"),
-            high.alias("high"),
             _score_classes().alias("classes"),
             F.explode(seat_keys).alias("seat_key"),
         )
-        # an empty band would make the sequence below count downwards
+        .join(asked, ["data_mode", "seat_key"], "left_semi")
+        .select("*", F.inline(F.array(*(intervals if by_category else [interval(None, low, high)]))))
         .where("low <= high")
-        .withColumn("bin", F.explode(F.sequence(rank_bin(F.col("low")), rank_bin(F.col("high")))))
+        .select("*", F.expr(leaf_of("low", depth)).alias("first"))
+        .withColumn("last", F.expr(leaf_of("high", depth)))
+    )
+    at_ends = F.transform(F.array_distinct(F.array("first", "last")), lambda n: n * (depth + 1))
+    inside = covering_nodes("(first + 1L)", "(last - 1L)", depth)
+    return (
+        ends.withColumn("both", F.struct(at_ends.alias("ends"), inside.alias("inside")))
+        .select("*", F.posexplode(F.concat("both.ends", "both.inside")).alias("place", "node"))
+        .withColumn("at_end", F.col("place") < F.size("both.ends"))
+        .drop("first", "last", "both", "place")
     )
 
 
@@ -135,65 +197,80 @@ def narrow_profiles(profiles: DataFrame) -> DataFrame:
     ).repartition(task_count(profiles.sparkSession), "profile_id")
 
 
-def probes_of(narrow: DataFrame) -> DataFrame:
-    """One row per profile, exam with a rank, and reachable seat key."""
-    per_exam = narrow.select("*", F.inline("ranks")).where("rank is not null").drop("ranks")
-    bins = rank_bin(F.col("rank")).alias("bin")
-    return per_exam.select("*", F.explode("reach").alias("access"), bins).drop("reach")
+def probes_of(narrow: DataFrame, depth: int = PAIR_DEPTH) -> DataFrame:
+    """One row per profile, exam with a rank, reachable seat key, and node above the rank."""
+    per_exam = narrow.select("*", F.inline("ranks")).where("rank is not null")
+    above = [F.expr(node(f"shiftright(leaf, {level})", level, depth)) for level in range(depth + 1)]
+    return (
+        per_exam.select("*", F.expr(leaf_of("rank", depth)).alias("leaf"))
+        .select("*", F.explode("reach").alias("access"))
+        .select("*", F.explode(F.array(*above)).alias("node"))
+        .drop("ranks", "reach", "leaf")
+    )
 
 
-def _exact() -> Column:
-    """What the equi-join on the bins leaves to check."""
+def _suits() -> Column:
+    """What the equi-join leaves to check."""
     return (
-        (F.col("rank") >= F.col("low"))
-        & (F.col("rank") <= F.col("high"))
+        (~F.col("at_end") | F.col("rank").between(F.col("low"), F.col("high")))
         & ((F.col("wanted") == 0) | (F.col("wanted").bitwiseAND(F.col("tag_mask")) != 0))
         & (F.col("barred_state").isNull() | (F.col("barred_state") != F.col("home_state")))
     )
 
 
-def split_keys(probes: DataFrame, binned: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``cell``: each key's rows form a grid of blocks, each pair has one cell.
+def split_keys(
+    probes: DataFrame, listed: DataFrame, block: int, own: str = "program_id"
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``cell``: a hot key's rows form a grid of blocks, each pair has one cell.
 
-    Keys are few (modes x exams x seat types x accesses x bins, whatever the row counts). They are
-    counted with map-side combine and written once, so Spark knows their size when it joins them.
+    Only keys with more than ``block`` rows on a side are in the grid; they are counted with map-side
+    combine and written once, so Spark knows their size when it joins them. ``own`` deals the rows
+    of the listed side.
     """
 
     def counted(df: DataFrame, name: str) -> DataFrame:
-        blocks = F.ceil(F.count("*") / F.lit(block)).cast("int")
-        return df.groupBy(*ROUTE).agg(blocks.alias(name))
+        hot = df.groupBy(*ROUTE).agg(F.count("*").alias("n")).where(F.col("n") > block)
+        return hot.select(*ROUTE, F.ceil(F.col("n") / F.lit(block)).cast("int").alias(name))
 
     grid = written(
-        counted(probes, "probe_blocks").join(counted(binned, "program_blocks"), ROUTE)
+        counted(probes, "probe_blocks").join(counted(listed, "program_blocks"), ROUTE, "full")
     )
 
-    def cells(df: DataFrame, own: str, other: str, own_first: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("profile_id" if own_first else "program_id"), F.col(own))
-        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        placed = df.join(grid, ROUTE).select("*", mine.alias("_mine"), theirs.alias("_theirs"))
-        row, column = ("_mine", "_theirs") if own_first else ("_theirs", "_mine")
-        cell = (F.col(row) * F.col("program_blocks") + F.col(column)).alias("cell")
+    def cells(df: DataFrame, row_id: str, by_probe: bool) -> DataFrame:
+        blocks = [F.coalesce(f"{side}_blocks", F.lit(1)) for side in ("probe", "program")]
+        mine, theirs = blocks if by_probe else reversed(blocks)
+        own_block = F.pmod(F.xxhash64(row_id), mine)
+        others = F.explode(F.sequence(F.lit(0), theirs - 1))
+        placed = df.join(grid, ROUTE, "left").select(
+            *df.columns, own_block.alias("_mine"), blocks[1].alias("_wide"), others.alias("_theirs")
+        )
+        row, column = ("_mine", "_theirs") if by_probe else ("_theirs", "_mine")
+        cell = (F.col(row) * F.col("_wide") + F.col(column)).alias("cell")
         return placed.select(*df.columns, cell)
 
-    return (
-        cells(probes, "probe_blocks", "program_blocks", True),
-        cells(binned, "program_blocks", "probe_blocks", False),
-    )
+    return cells(probes, "profile_id", True), cells(listed, own, False)
 
 
 def pairs_of(
-    probes: DataFrame, binned: DataFrame, block: int, keep: tuple[str, ...] = ()
+    probes: DataFrame,
+    listed: DataFrame,
+    block: int,
+    keep: tuple[str, ...] = (),
+    route: tuple[str, ...] = (),
 ) -> DataFrame:
-    """All eligible pairs inside the band, with the probe columns named in ``keep``."""
-    left, right = split_keys(probes, binned, block)
-    joined = left.join(right, [*ROUTE, "cell"])
+    """All eligible pairs inside the band, with the probe columns named in ``keep``.
+
+    Probes may also name what a pair has to agree in, in ``route``.
+    """
+    left, right = split_keys(probes, listed, block)
+    joined = left.join(right, [*ROUTE, *route, "cell"])
     # inside the band, so the two comparisons decide the category (in display order)
     category_no = (
         F.when(F.col("rank") <= F.col("opening_rank"), 2)
         .when(F.col("rank") <= F.col("closing_rank"), 0)
         .otherwise(1)
     )
-    return joined.where(_exact()).select(
+    return joined.where(_suits()).select(
         "profile_id",
         "max_results",
         "program_id",
@@ -204,7 +281,6 @@ def pairs_of(
         "brand_score",
         F.get("goal_weights", "goal_no").alias("weight"),
         category_no.alias("category_no"),
-        (category_no * F.lit(_CATEGORY_UNIT) + F.get("classes", "goal_no")).alias("class"),
         *keep,
     )
 
@@ -214,20 +290,41 @@ def match_programs(
 ) -> DataFrame:
     """Every profile with every program it is eligible for and within the band of."""
     narrow = written(narrow_profiles(profiles))
-    return pairs_of(probes_of(narrow), binned_programs(programs), block)
+    return pairs_of(probes_of(narrow), listed_programs(programs, narrow), block)
 
 
-def _cutoffs(pairs: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Per profile: number of matches, and a bound no top-N match lies beyond.
+def alike_programs(listed: DataFrame) -> DataFrame:
+    """How many programs of each kind a node lists, and the last closing rank among them.
 
-    Pairs are first counted per class (category, tag weight, brand, closing step), a hash
-    aggregation with map-side combine. Taken in ranking order, the first classes that together
-    hold ``max_results`` pairs contain the N best or worse, so the worst sort key among them
-    bounds the top N.
+    The kind has all that eligibility and class depend on. The kinds at a node don't grow with the
+    programs, so a rank's matches are counted without meeting them, but for ends of intervals.
     """
-    classes = pairs.groupBy("profile_id", "class").agg(
+    ends = [F.when(F.col("at_end"), F.col(c)).alias(c) for c in ("low", "high")]
+    kind = [*ROUTE, "category_no", "tag_mask", "barred_state", "classes", "at_end", *ends]
+    return listed.groupBy(*kind).agg(
         F.count("*").alias("n"), F.max("closing_rank").alias("worst_closing")
     )
+
+
+def match_counts(probes: DataFrame, alike: DataFrame, block: int) -> DataFrame:
+    """Matches of each profile by class (category, tag weight, brand, closing step)."""
+    alike = written(alike).withColumn("kind", F.xxhash64("tag_mask", "classes", "low"))
+    left, right = split_keys(probes, alike, block, "kind")
+    category = F.col("category_no") * F.lit(_CATEGORY_UNIT)
+    return (
+        left.join(right, [*ROUTE, "cell"])
+        .where(_suits())
+        .groupBy("profile_id", (category + F.get("classes", "goal_no")).alias("class"))
+        .agg(F.sum("n").alias("n"), F.max("worst_closing").alias("worst_closing"))
+    )
+
+
+def _cutoffs(classes: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Per profile: number of matches, and a bound no top-N match lies beyond.
+
+    Taken in ranking order, the first classes that together hold ``max_results`` pairs contain the N
+    best or worse, so the worst sort key among them bounds the top N.
+    """
     category_no, weight, brand, step = _class_parts(F.col("class"))
     scored = classes.join(narrow.select("profile_id", "ratio", "max_results"), "profile_id").select(
         "profile_id",
@@ -283,16 +380,21 @@ def top_matches(
 ) -> DataFrame:
     """The first ``max_results`` matches per profile with all program columns and the total.
 
-    The pairs are enumerated twice and never sorted or shuffled as a whole: the first pass only
-    counts, the second keeps what can be in the top N. Only those rows are sorted, and only the
-    top N meet the wide program columns.
+    Counts by class give the total and a bound for the top N. Pairs are then made in the categories
+    within the bound, and those within it are sorted; only the top N meet the wide program columns.
     """
-    binned = binned_programs(programs)
     narrow = written(narrow_profiles(profiles))
-    cutoffs = _cutoffs(pairs_of(probes_of(narrow), binned, block), narrow)
-    bounded = probes_of(narrow.join(cutoffs, "profile_id"))
+    counted = match_counts(
+        probes_of(narrow, COUNT_DEPTH),
+        alike_programs(listed_programs(programs, narrow, COUNT_DEPTH, by_category=True)),
+        block,
+    )
+    cutoffs = _cutoffs(counted, narrow)
+    categories = F.explode(F.sequence(F.lit(0), "worst_category"))
+    bounded = narrow.join(cutoffs, "profile_id").withColumn("category_no", categories)
     bounds = ("total", "worst_category", "worst_score", "worst_closing")
-    near = pairs_of(bounded, binned, block, keep=bounds)
+    listed = listed_programs(programs, narrow, by_category=True)
+    near = pairs_of(probes_of(bounded), listed, block, bounds, ("category_no",))
     score = scoring.interest_score(F.col("weight"), F.col("brand_score"), F.col("ratio"))
     position = F.row_number().over(
         Window.partitionBy("profile_id").orderBy(

@@ -19,7 +19,7 @@ def pairs(df):
 
 
 def test_matching_paths_agree(spark, sf_dir):
-    """The binned join, with large and small blocks, and literal predicates find the same pairs, each once."""
+    """The join by nodes, with large and small blocks, and literal predicates find the same pairs, each once."""
     seats = fx.seats(spark, sf_dir)
     people = fx.profiles(spark, sf_dir, preferences=True)
     literal = pairs(H.match_programs_unbinned(people, seats))
@@ -34,12 +34,63 @@ def test_hot_key(spark):
     people = H.profiles(spark, *[{"profile_id": i} for i in range(50)])
     got = pairs(M.match_programs(people, seats, block=8))
     assert len(got) == len(set(got)) == 70 * 50
-    binned = M.binned_programs(seats)
-    left, right = M.split_keys(M.probes_of(M.narrow_profiles(people)), binned, 8)
+    narrow = M.narrow_profiles(people)
+    left, right = M.split_keys(M.probes_of(narrow), M.listed_programs(seats, narrow), 8)
     worst = right.groupBy(*M.ROUTE, "cell").count().agg(F.max("count")).first()[0]
     assert worst < 35
 
 
+def test_covering_nodes(spark):
+    """The nodes of a stretch of leaves have exactly those below them, at most two a level below octaves."""
+    depth = 4
+    wide = 1 << depth
+    spans = [(a, b) for a in range(0, 4 * wide, 3) for b in range(a - 2, 4 * wide)]
+    df = spark.createDataFrame(spans, "first long, last long")
+    for a, b, nodes in df.select("*", M.covering_nodes("first", "last", depth)).collect():
+        level = [n % (depth + 1) for n in nodes]
+        assert all(level.count(k) <= 2 for k in range(depth))
+        below = [range((n // (depth + 1)) << k, (n // (depth + 1) + 1) << k) for n, k in zip(nodes, level)]
+        assert sorted(leaf for r in below for leaf in r) == list(range(a, b + 1))
+
+
+def test_leaves_never_fall(spark):
+    ranks = sorted({r for k in range(40) for r in range((1 << k) - 3, (1 << k) + 4)} | set(range(3000)))
+    df = spark.createDataFrame([(r,) for r in ranks], "rank long")
+    leaves = [r[0] for r in df.orderBy("rank").select(F.expr(M.leaf_of("rank", 4))).collect()]
+    assert leaves == sorted(leaves) and leaves[0] == 0
+    assert len(set(leaves[ranks.index(1024):ranks.index(2048)])) == 1 << 4
+
+
+def test_counts_are_those_of_all_pairs(spark, sf_dir):
+    """Totals and closing bounds by class from the counted nodes, without making a pair."""
+    seats = fx.seats(spark, sf_dir)
+    people = fx.profiles(spark, sf_dir, preferences=True)
+    narrow = M.narrow_profiles(people)
+    alike = M.alike_programs(M.listed_programs(seats, narrow, 3, by_category=True))
+    probes = M.probes_of(narrow, 3)
+    classes = seats.select("program_id", M._score_classes().alias("classes"))
+    goals = narrow.select("profile_id", "goal_no")
+    code = F.col("category_no") * M._CATEGORY_UNIT + F.get("classes", "goal_no")
+    wanted = (
+        M.match_programs(people, seats).join(classes, "program_id").join(goals, "profile_id")
+        .groupBy("profile_id", code.alias("class"))
+        .agg(F.count("*").alias("n"), F.max("closing_rank").alias("worst_closing"))
+    )
+    wanted = sorted(map(tuple, wanted.collect()))
+    for block in (20, 10_000):
+        assert sorted(map(tuple, M.match_counts(probes, alike, block).collect())) == wanted
+
+
+def test_few_candidates_are_no_match(spark, sf_dir):
+    """Nodes bring together few pairs whose rank is outside the band."""
+    seats, people = fx.seats(spark, sf_dir), fx.profiles(spark, sf_dir)
+    narrow = M.narrow_profiles(people)
+    met = M.probes_of(narrow, 4).join(M.listed_programs(seats, narrow, 4), M.ROUTE)
+    inside = (F.col("rank") >= F.col("opening_rank") * 0.5) & (F.col("rank") <= F.col("closing_rank") * 1.25)
+    found = met.agg(F.count("*").alias("all"), F.count_if(inside).alias("good")).first()
+    assert 0 < found["all"] < 1.1 * found["good"]
+
+
 def test_top_n_is_exact(spark, sf_dir):
     """The counted bound never loses a row: compared with ranking all pairs."""
     seats = fx.seats(spark, sf_dir)
