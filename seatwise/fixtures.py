@@ -14,6 +14,7 @@ from seatwise.functions.text import program_branch, program_degree
 from seatwise.operators import programs as P
 from seatwise.operators.rounds import first_row
 from seatwise.plans.recommend import ready_seats, seat_table
+from seatwise.session import task_count, written
 
 YEAR = 2000
 
@@ -160,8 +161,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derived(spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str, str]):
+def _derived(
+    spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str, str], spread: bool = False
+):
     df = table(spark, sf_dir, base)
+    if spread:
+        # a table of one row group would be one task for all the costly columns
+        df = df.repartition(task_count(spark))
     for name, condition in tables.items():
         df = df.join(table(spark, sf_dir, name), F.expr(condition))
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
@@ -169,13 +175,22 @@ def _derived(spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str
 
 def cutoffs(spark: SparkSession, sf_dir: str, applicant: bool = False) -> DataFrame:
     columns = {**CUTOFF_COLUMNS, "applicant": "o_custkey"} if applicant else CUTOFF_COLUMNS
-    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns)
+    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns, spread=True)
+
+
+_LANDED: dict[tuple[str, str], DataFrame] = {}
 
 
 def raw_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text columns of a raw file, plus the columns that stand for the source line."""
-    columns = {**RAW_COLUMNS, **{c: c for c in LINES[1:]}}
-    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns)
+    """Text columns of a raw file, plus the columns that stand for the source line.
+
+    The rows are landed once in a session, as a file would be: what reads them does not make them.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        columns = {**RAW_COLUMNS, **{c: c for c in LINES[1:]}}
+        _LANDED[key] = written(_derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns, True))
+    return _LANDED[key]
 
 
 def profiles(spark: SparkSession, sf_dir: str, preferences: bool = False) -> DataFrame:

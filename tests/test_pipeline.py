@@ -389,14 +389,17 @@ def test_quantiles(spark):
         assert abs(v - np.quantile(values, p)) < 1e-6
 
 
-def test_reorder_runs(spark):
+@pytest.mark.parametrize("length, places", [(1000, 1024), (7, 1024), (3, 2)])
+def test_reorder_runs(spark, monkeypatch, length, places):
     """Folding in runs gives what one pass over the moves gives, for several run lengths."""
     import random
 
+    monkeypatch.setattr(C, "PLACES", places)
     rng = random.Random(5)
-    users = {1: 6, 2: 3, 3: 1}
+    users = {1: 6, 2: 3, 3: 1, 4: 90}
     rows = [(u, f"I{i}", "B", i) for u, n in users.items() for i in range(n)]
-    moves = [(rng.choice([1, 1, 2, 3]), s, rng.randrange(7), rng.randrange(7)) for s in range(300)]
+    moves = [(rng.choice([1, 1, 2, 3]), s, rng.randrange(7), rng.randrange(7)) for s in range(150)]
+    moves += [(4, s, rng.randrange(95), rng.randrange(95)) for s in range(150, 250)]
     expected = {u: list(range(n)) for u, n in users.items()}
     for u, _, a, b in moves:
         items = expected[u]
@@ -404,12 +407,11 @@ def test_reorder_runs(spark):
             items.insert(b, items.pop(a))
     choices = spark.createDataFrame(rows, "user_id bigint, institute string, branch string, seq bigint")
     steps = spark.createDataFrame(moves, "user_id bigint, seq bigint, from_no int, to_no int")
-    for length, fan_in in ((1000, 10), (7, 3)):
-        got = {}
-        out = C.choice_reorder(choices, steps, length, fan_in).orderBy("user_id", "position")
-        for r in out.collect():
-            got.setdefault(r.user_id, []).append(r.seq)
-        assert got == expected
+    got = {}
+    out = C.choice_reorder(choices, steps, length).orderBy("user_id", "position")
+    for r in out.collect():
+        got.setdefault(r.user_id, []).append(r.seq)
+    assert got == expected
 
 
 def test_numbering_slices(spark):
