@@ -155,12 +155,20 @@ def region_filter(spark, sf):
 
 @query(
     "text_search",
-    f"""SELECT {_ID}, branch FROM recs WHERE contains(lower(institute), 'tion_1')
-        OR contains(lower(branch), 'tion_1') OR contains(lower(branch_full), 'tion_1')
-        OR contains(lower(institute_state), 'tion_1')""",
+    f"""SELECT n.needle, {_ID}, branch FROM recs JOIN (VALUES ('econom'), ('#000000001'), ('pradesh'), ('4 years, b'))
+        n(needle) ON contains(lower(institute), n.needle) OR contains(lower(branch), n.needle)
+        OR contains(lower(branch_full), n.needle) OR contains(lower(institute_state), n.needle)""",
 )
 def text_search(spark, sf):
-    return views.text_search(recs(spark, sf), " TION_1 ").select(*_ID.split(", "), "branch")
+    """Texts that only the branch, the institute, the state and the full program name have."""
+    rows = written(recs(spark, sf))
+    found = [
+        views.text_search(rows, needle).select(
+            F.lit(needle.strip().lower()).alias("needle"), *_ID.split(", "), "branch"
+        )
+        for needle in (" ECONOM", "#000000001", "Pradesh ", "4 Years, B")
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
 
 
 _PLACES = {

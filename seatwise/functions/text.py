@@ -65,11 +65,23 @@ def western_grouping(c: Column) -> Column:
 
 
 def filled(template: Column, **slots: Column) -> Column:
-    """Put values into ``{name}`` slots; a slot whose value is null stays as it is."""
-    for name, value in slots.items():
-        mark = F.lit("{" + name + "}")
-        template = F.replace(template, mark, F.coalesce(value.cast("string"), mark))
-    return template
+    """Put values into ``{name}`` slots; a slot whose value is null stays as it is.
+
+    The template is cut at its slots and joined once, so a value that looks like a slot is not
+    filled again.
+    """
+    # a cut in front of each opening and behind each closing brace
+    parts = F.split(template, r"(?=\{)|(?<=\})")
+
+    def shown(part: Column) -> Column:
+        values = None
+        for name, value in slots.items():
+            mark = F.lit("{" + name + "}")
+            found = F.coalesce(value.cast("string"), mark)
+            values = F.when(part == mark, found) if values is None else values.when(part == mark, found)
+        return part if values is None else values.otherwise(part)
+
+    return F.array_join(F.transform(parts, shown), "")
 
 
 def half_up(c: Column) -> Column:
