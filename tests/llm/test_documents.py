@@ -109,29 +109,39 @@ def test_passages_cut_out_of_rows(spark):
     assert rows == {None: (line, len(line), "x"), 1: ("b", 1, "y"), 2: (None, None, "z"), 3: ("short", 5, "z")}
 
 
-def test_near_duplicates_against_all_pairs(odd_docs, no_docs, odd_texts):
-    rows = odd_docs.select("doc_id", "text")
-    idf = weighted_minhash.inverse_frequencies(rows)
-    sets = []
-    for text in odd_texts:
-        _, hashes, counts = weighted_minhash.shingles([text or ""])
-        words = (text or "").lower().split()
-        plain = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-        assert len(hashes) == len(plain)
-        sets.append((hashes, counts * idf[weighted_minhash._bucket(hashes)]))
-    label = list(range(len(odd_texts)))
-    for a, b in itertools.combinations(label[:], 2):
-        equal = (odd_texts[a] or "") == (odd_texts[b] or "")
-        if equal or weighted_minhash.weighted_jaccard(sets[a], sets[b]) >= 0.8:
-            one, two = sorted((label[a], label[b]))
-            label = [one if x == two else x for x in label]
-    found = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicate_classes(odd_docs).collect()}
-    assert found == dict(enumerate(label))
+def test_near_duplicates_that_stay(odd_docs, no_docs):
+    classes = weighted_minhash.near_duplicate_classes(odd_docs).collect()
+    stay = {r["doc_id"] for r in classes if r["kept"]}
+    assert stay == {r["class_id"] for r in classes}
     kept = weighted_minhash.drop_near_duplicates(odd_docs)
-    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == set(label)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == stay
     assert weighted_minhash.near_duplicate_classes(no_docs).count() == 0
 
 
+def test_near_duplicates_under_repeated_and_null_ids(spark):
+    """Texts are linked whatever their ids; only a text that stands for its class stays."""
+    rng = random.Random(12)
+    texts = [[f"{k}w{rng.randint(0, 10**6)}" for _ in range(200)] for k in range(3)]
+    a, b, c = (" ".join(t) for t in texts)
+    near = lambda t: " ".join([*t[:100], "changed", *t[101:]])
+    rows = [(1, a), (2, near(texts[0])), (2, b), (4, near(texts[1])), (None, near(texts[2])), (None, c), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, sha string")
+    found = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in weighted_minhash.near_duplicate_classes(docs).collect()), key=str)
+    want = [(1, 1, True), (2, 1, False), (2, 2, True), (4, 2, False), (7, 7, True), (8, 7, False)]
+    assert found[:6] == want and [f[:2] for f in found[6:]] == [(None, None)] * 2 and sum(f[2] for f in found[6:]) == 1
+    left = weighted_minhash.drop_near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str)[:3] == [(1, a), (2, b), (7, "")] and len(left) == 4
+
+
+def test_long_texts_are_compared_in_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(weighted_minhash, "BLOCK_BYTES", 20_000)
+    rng = random.Random(13)
+    words = [f"w{rng.randint(0, 10**7)}" for _ in range(60_000)]
+    docs = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(6)] + [(9, "w1 w2")]
+    found = weighted_minhash.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == {**dict.fromkeys(range(6), 0), 9: 9}
+
+
 def test_weights_are_those_of_each_shingle(monkeypatch, spark):
     monkeypatch.setattr(weighted_minhash, "RANGE_BYTES", 100_000)
     monkeypatch.setattr(weighted_minhash, "BATCH", 150)
