@@ -83,6 +83,39 @@ def test_repeated_passages(monkeypatch, odd_docs, no_docs, odd_texts, hot, shard
     assert suffix_dedup.repeated_passages(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 7, 30, suffix_dedup.SPAN])
+def test_equal_windows_of_a_crowded_anchor_stay_together(width):
+    """Windows are dealt out whole, each once, and equal ones under equal keys, in few rows."""
+    rng = random.Random(14)
+    passage = "".join(rng.choice("abcde ") for _ in range(300))
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 90))) + passage + rng.choice(["", "ab" * 40]) for _ in range(40)]
+    keys, windows, rows, regions = {}, 0, 0, 0
+    for text in (t.encode() for t in texts):
+        for key, first, last, _ in zip(*suffix_dedup.anchors(text)):
+            at, regions = int(first), regions + 1
+            for own, begin, end in suffix_dedup.narrowed(text, int(key.view(np.int64)), at, int(last), width):
+                assert begin == at and end >= begin
+                for start in range(begin, end + 1):
+                    keys.setdefault((int(key), text[start : start + suffix_dedup.LENGTH]), set()).add(own)
+                at, windows, rows = end + 1, windows + end + 1 - begin, rows + 1
+            assert at == last + 1
+    assert all(len(own) == 1 for own in keys.values())
+    assert rows <= windows / width + 2 * regions
+
+
+@pytest.mark.parametrize("hot", [2, 9, 8000])
+def test_one_passage_in_many_contexts(monkeypatch, spark, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(15)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(260)
+    texts = [some(rng.randint(0, 150)) + passage[rng.randint(0, 3) :] + some(rng.randint(0, 150)) for _ in range(60)]
+    texts += ["xy" * 300, "z" + "xy" * 200, passage + passage, passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r[0]: tuple(r)[1:] for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert found == dict(enumerate(plain_repeats(texts)))
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_rows_that_share_id_and_text_keep_the_text(monkeypatch, spark, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
