@@ -245,30 +245,42 @@ def frame(doc_ids: list[int | None], ids_of: list[bytes], vocabulary: int) -> by
     tables = (
         np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes()
         + np.array([len(b) // 4 for b in ids_of], "<u8").tobytes()
-        + np.array([(len(w), c) for w, c in zip(words, sums)], "<u4").tobytes()
+        + np.array([(len(w), zlib.crc32(w.tobytes()), c) for w, c in zip(words, sums)], "<u4").tobytes()
     )
-    head = HEAD.pack(b"TIDF", block, vocabulary, len(doc_ids), len(ids), len(words), zlib.crc32(tables))
+    fields = (b"TIDF", block, vocabulary, len(doc_ids), len(ids), len(words))
+    head = HEAD.pack(*fields, zlib.crc32(tables, zlib.crc32(HEAD.pack(*fields, 0))))
     return b"".join([head, tables, *[w.tobytes() for w in words]])
 
 
 def read_frame(data: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
-    """(document ids, ids per document, all ids) of a frame; ValueError if a checksum does not hold."""
-    magic, block, vocabulary, n_docs, n_ids, n_blocks, crc = HEAD.unpack_from(data)
-    tables = data[HEAD.size : HEAD.size + 16 * n_docs + 8 * n_blocks]
-    if magic != b"TIDF" or zlib.crc32(tables) != crc:
+    """(document ids, ids per document, all ids) of a frame; ValueError if a checksum does not hold.
+
+    Words are checked before they are decoded, ids after.
+    """
+    if len(data) < HEAD.size:
+        raise ValueError("not a frame")
+    *fields, crc = HEAD.unpack_from(data)
+    magic, block, vocabulary, n_docs, n_ids, n_blocks = fields
+    tables = data[HEAD.size : HEAD.size + 16 * n_docs + 12 * n_blocks]
+    if magic != b"TIDF" or zlib.crc32(tables, zlib.crc32(HEAD.pack(*fields, 0))) != crc:
         raise ValueError("not a frame, or its tables are damaged")
     doc_ids = np.frombuffer(tables, "<i8", n_docs)
     lengths = np.frombuffer(tables, "<u8", n_docs, 8 * n_docs).astype(np.int64)
-    table = np.frombuffer(tables, "<u4", 2 * n_blocks, 16 * n_docs).reshape(-1, 2)
-    payload = np.frombuffer(data, "<u2", -1, HEAD.size + len(tables))
+    table = np.frombuffer(tables, "<u4", 3 * n_blocks, 16 * n_docs).reshape(-1, 3)
     starts = np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
+    if len(data) != HEAD.size + len(tables) + 2 * starts[-1]:
+        raise ValueError("a frame is cut off or too long")
+    payload = np.frombuffer(data, "<u2", -1, HEAD.size + len(tables))
+    for k in range(n_blocks):
+        if zlib.crc32(payload[starts[k] : starts[k + 1]].tobytes()) != table[k, 1]:
+            raise ValueError("a block is damaged")
     ids = np.zeros(n_ids, "<u4")
     for first, n, size in _groups(n_ids, block):
         own = table[first : first + n, 0].astype(np.int64)
         words = np.zeros((n, int(own.max()) + 2), np.uint16)
         words[np.arange(words.shape[1]) < own[:, None]] = payload[starts[first] : starts[first + n]]
         part = decode_blocks(np.ascontiguousarray(words.T), size, vocabulary).T.astype("<u4")
-        if [zlib.crc32(np.ascontiguousarray(b)) for b in part] != table[first : first + n, 1].tolist():
+        if [zlib.crc32(np.ascontiguousarray(b)) for b in part] != table[first : first + n, 2].tolist():
             raise ValueError("a block is damaged")
         ids[first * block : first * block + n * size] = part.ravel()
     return [None if d == NO_ID else int(d) for d in doc_ids], lengths.tolist(), ids

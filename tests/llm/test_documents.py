@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seatwise.llm import exact_dedup, language_cnn, perspectives, suffix_dedup, weighted_minhash
 from seatwise.llm.suffix_array import permuted_prefixes, suffix_array
@@ -35,11 +36,39 @@ def test_exact_duplicates_with_null_and_repeated_ids(spark):
 
 
 def test_overfull_buckets_are_split(spark):
-    hashed = spark.range(4000).selectExpr("cast(id % 4096 as int) slot")
-    slots = exact_dedup.directory(hashed, 100).collect()
-    held = collections.Counter(r["bucket"] for r in slots)
-    assert max(held.values()) <= 100 and len(held) >= 40
-    assert {r["depth"] for r in exact_dedup.directory(hashed, 10**6).collect()} == {0}
+    """The directory doubles as far as it has to; copies of one hash never split a bucket."""
+    hashed = spark.range(4000).selectExpr("xxhash64(id) hash").union(spark.range(3000).selectExpr("7L hash"))
+    for capacity in (100, 1):
+        bits, slots = exact_dedup.directory(hashed, capacity)
+        found = exact_dedup._in_buckets(hashed.distinct(), bits, slots)
+        held = collections.Counter(r["bucket"] for r in found.collect())
+        assert sum(held.values()) == 4001 and max(held.values()) <= capacity
+        assert bits == exact_dedup.BITS if capacity == 100 else bits > 12
+    bits, slots = exact_dedup.directory(hashed, 10**6)
+    assert {r["depth"] for r in slots.collect()} == {0} and {r["bucket"] for r in slots.collect()} == {0}
+
+
+def test_rows_are_found_through_the_directory(spark, odd_docs, monkeypatch):
+    """Entries lie in their buckets in order of their owners; a wrong directory finds nothing."""
+    index = exact_dedup.build_index(odd_docs, capacity=2)
+    spans = index.entries.groupBy("bucket").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).collect()
+    assert len(spans) > 5
+    unsigned = lambda h: h % (1 << 64)
+    for r in spans:
+        assert unsigned(r["a"]) >> 64 - index.bits >= r["bucket"]
+    rows = exact_dedup._hashed(odd_docs, "doc_id", "text").select("doc_id", "hash", F.unhex(F.sha2("text", 256)).alias("sha256"))
+    assert exact_dedup.look_up(rows, index).count() == odd_docs.count()
+    index.directory = index.directory.withColumn("bucket", F.col("bucket") + 1)
+    assert exact_dedup.look_up(rows, index).count() == 0
+
+
+def test_texts_of_one_hash_are_chained(spark, monkeypatch):
+    named = lambda docs, i, t: docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(5).cast("long").alias("hash"))
+    monkeypatch.setattr(exact_dedup, "_hashed", named)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "c")], "doc_id long, text string")
+    assert sorted(r["chain"] for r in exact_dedup.build_index(docs).entries.collect()) == [1, 2, 3, 4]
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert found == {1: (3, 2), 3: (3, 2), 2: (2, 1), 4: (4, 1), 5: (5, 1)}
 
 
 def test_suffix_arrays():
@@ -192,9 +221,10 @@ def test_weights_are_those_of_each_shingle(monkeypatch, spark):
         assert np.allclose(weighted_minhash._unpacked(found[k], documents), want)
 
 
-def test_near_duplicates_with_exact_weights(odd_docs, odd_texts):
+def plain_near_classes(texts):
+    """The first text of each text's class, by comparing all pairs with weights of their own."""
     plain = []
-    for text in odd_texts:
+    for text in texts:
         words = (text or "").lower().split()
         n = max(1, len(words) - 4) if words else 0
         plain.append(collections.Counter(tuple(words[i : i + 5]) for i in range(n)))
@@ -205,11 +235,15 @@ def test_near_duplicates_with_exact_weights(odd_docs, odd_texts):
         one, two = plain[a], plain[b]
         both = sum(n * weight(s) for s, n in (one & two).items())
         either = sum(n * weight(s) for s, n in (one | two).items())
-        if (odd_texts[a] or "") == (odd_texts[b] or "") or both and both / either >= 0.8:
+        if (texts[a] or "") == (texts[b] or "") or both and both / either >= 0.8:
             low, high = sorted((label[a], label[b]))
             label = [low if x == high else x for x in label]
+    return label
+
+
+def test_near_duplicates_with_exact_weights(odd_docs, odd_texts):
     found = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicate_classes(odd_docs).collect()}
-    assert found == dict(enumerate(label))
+    assert found == dict(enumerate(plain_near_classes(odd_texts)))
 
 
 def test_every_unicode_space_separates_words():

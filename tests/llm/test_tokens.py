@@ -50,10 +50,14 @@ def test_frames_round_trip_and_checksums():
         data = frame([None, 7], [ids[: n // 3].tobytes(), ids[n // 3 :].tobytes()], 50_257)
         docs, lengths, found = read_frame(data)
         assert docs == [None, 7] and lengths == [n // 3, n - n // 3] and (found == ids).all()
-    damaged = bytearray(data)
-    damaged[-9] ^= 1
-    with pytest.raises(ValueError):
-        read_frame(bytes(damaged))
+    for _ in range(200):
+        damaged = bytearray(data)
+        damaged[rng.integers(0, len(data))] ^= 1 << int(rng.integers(0, 8))
+        with pytest.raises(ValueError):
+            read_frame(bytes(damaged))
+    for cut in (0, 5, 40, len(data) - 1, len(data) - 2):
+        with pytest.raises(ValueError):
+            read_frame(data[:cut])
     with pytest.raises(ValueError):
         frame([1], [np.array([70_000], "<u4").tobytes()], 50_257)
 
