@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seatwise import fixtures as fx
 from seatwise.catalog.registry import CTES, numeric, pool, query, trimmed
+from seatwise.dims.values import PROGRAM_PATTERN
 from seatwise.functions import text as X
 from seatwise.operators import cleaning as C
 from seatwise.sources.cutoffs import effective_mode, materialise
@@ -72,7 +73,7 @@ def normalise_gender(spark, sf):
     return C.normalise_gender(fx.raw_cutoffs(spark, sf)).select(*_KEY.split(", "), "gender_pool")
 
 
-_PROGRAM = r"^(.*?)\s*\((.*)\)\s*$"
+_PROGRAM = PROGRAM_PATTERN
 
 
 @query(

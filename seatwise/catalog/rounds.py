@@ -13,6 +13,7 @@ from seatwise.catalog.common import history_text
 from seatwise.catalog.registry import CTES, numeric, pool, query, quoted, trimmed
 from seatwise.dims import tables
 from seatwise.operators import cleaning as C, programs as P, rounds as R, summaries as S
+from seatwise.operators.choices import numbered_by
 from seatwise.session import shared_folder
 from seatwise.sources import cutoffs as src
 
@@ -79,28 +80,32 @@ def last_round_notebook(spark, sf):
 
 @query(
     "notebook_sort",
-    f"""SELECT year, institute, program, count(*) AS n FROM notebook_ends GROUP BY ALL
-    ORDER BY year, institute, program""",
+    f"""SELECT row_number() OVER (ORDER BY year, institute, program, {_TIES}) AS place,
+        year, institute, program, line, closing_rank FROM notebook_ends""",
 )
 def notebook_sort(spark, sf):
+    """The sorted rows with their places, numbered in sorted ranges."""
     kept = R.last_round_notebook(fx.raw_cutoffs(spark, sf), fx.LINES)
-    counted = kept.groupBy("year", "institute", "program").agg(F.count("*").alias("n"))
-    return counted.orderBy("year", "institute", "program")
+    order = F.struct("year", "institute", "program", *fx.LINES)
+    rows = numbered_by(kept.select("*", F.lit(0).alias("user_id"), order.alias("seq")))
+    return rows.select(
+        F.col("position").alias("place"), "year", "institute", "program", "line", "closing_rank"
+    )
 
 
 @query(
     "write_last_round",
-    f"""SELECT year, seat_type, count(*) AS n,
+    f"""SELECT year, seat_type, institute IS NULL AS unnamed, count(*) AS n,
         CAST(sum({numeric('closing_rank')}) AS BIGINT) AS closing
-    FROM clean_ends WHERE institute IS NOT NULL GROUP BY ALL""",
+    FROM clean_ends GROUP BY ALL""",
 )
 def write_last_round(spark, sf):
     """Written as CSV and read back."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     kept = R.last_round_clean(fx.raw_cutoffs(spark, sf), fx.LINES)
-    src.write_last_round(kept.where("institute is not null").drop(*fx.LINES[1:]), path)
+    src.write_last_round(kept.drop(*fx.LINES[1:]), path)
     typed = C.coerce_numeric(src.read_cutoffs(spark, path), ["year", "closing_rank"])
-    return typed.groupBy("year", "seat_type").agg(
+    return typed.groupBy("year", "seat_type", F.col("institute").isNull().alias("unnamed")).agg(
         F.count("*").alias("n"), F.sum("closing_rank").cast("bigint").alias("closing")
     )
 
@@ -146,12 +151,12 @@ def read_snapshot(spark, sf):
 
 @query(
     "rename_columns",
-    "SELECT institute, program, quota, closing_rank FROM cutoffs WHERE year = 1999",
+    "SELECT institute, program, quota, closing_rank FROM cutoffs",
 )
 def rename_columns(spark, sf):
     """Source headers back to column names."""
     headers = {v: k for k, v in V.SOURCE_COLUMNS.items()}
-    rows = fx.cutoffs(spark, sf).where("year = 1999").withColumnsRenamed(headers)
+    rows = fx.cutoffs(spark, sf).withColumnsRenamed(headers)
     return src.rename_columns(rows).select("institute", "program", "quota", "closing_rank")
 
 
@@ -168,8 +173,7 @@ _LOADS = [("extended", True, "basic"), ("other", True, "extended"), ("basic", Fa
     "load_programs",
     " UNION ALL ".join(
         f"""SELECT '{mode} {allowed} {default}' AS asked, institute, count(*) AS n, sum(closing_rank)::BIGINT AS closing
-        FROM cutoffs WHERE {'year = 1999' if 'extended' == (mode if allowed else default) else 'round = 3'}
-        GROUP BY institute"""
+        FROM {'cutoffs' if 'extended' == (mode if allowed else default) else 'programs'} GROUP BY institute"""
         for mode, allowed, default in _LOADS
     ),
 )
@@ -177,11 +181,11 @@ def load_programs(spark, sf):
     """The table of the mode asked for, or of the default where there is no choice."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     paths = {"extended": f"{folder}/extended", "basic": f"{folder}/basic"}
-    src.materialise(fx.cutoffs(spark, sf).where("year = 1999"), paths["extended"])
-    src.materialise(fx.cutoffs(spark, sf).where("round = 3"), paths["basic"])
+    src.materialise(fx.cutoffs(spark, sf), paths["extended"])
+    src.materialise(fx.programs(spark, sf), paths["basic"])
     found = [
-        src.load_programs(spark, paths, mode, allowed, default).withColumn(
-            "asked", F.lit(f"{mode} {allowed} {default}")
+        src.load_programs(spark, paths, mode, allowed, default).select(
+            F.lit(f"{mode} {allowed} {default}").alias("asked"), "institute", "closing_rank"
         )
         for mode, allowed, default in _LOADS
     ]

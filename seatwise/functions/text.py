@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from seatwise.dims import values as V
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_PROGRAM = r"^(.*?)\s*\((.*)\)\s*$"
+_PROGRAM = V.PROGRAM_PATTERN
 
 
 def trimmed(c: Column) -> Column:

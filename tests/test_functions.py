@@ -267,3 +267,17 @@ def test_volatility(spark):
 def test_filled(spark):
     got = X.filled(F.lit("{a} and {b} and {a}"), a=c("a"), b=F.lit(None).cast("string"))
     assert one(spark, got, a="x") == "x and {b} and x"
+
+
+def test_filled(spark):
+    """One pass: values are never read as slots; slots without a value, and unknown ones, stay."""
+    cases = [
+        ("{a} and {b}", "{b}", "x", "{b} and x"),
+        ("{a}{a}{b}", "1", None, "11{b}"),
+        ("no slot", "1", "2", "no slot"),
+        ("{c} {a", "1", "2", "{c} {a"),
+        ("", "1", "2", ""),
+        ("}{a}{", "$1\\", "2", "}$1\\{"),
+        (None, "1", "2", None),
+    ]
+    table(spark, lambda t, a, b: X.filled(t, a=a, b=b), cases, ["t", "a", "b"])
