@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from seatwise.dims import values as V
 from seatwise.operators.choices import numbered_choices
 from seatwise.session import written
+from seatwise.sources.records import read_csv_records
 
 # Texts that count as missing in a cutoff file.
 MISSING_TEXTS = [
@@ -40,17 +41,21 @@ def read_cutoffs(
 
     ``format`` is ``csv`` or ``parquet``; without it the ending of the path decides. CSV columns are
     found by the header of each file, so files may order them differently. A record that spans lines
-    needs ``multiline`` (files are then read whole); without it such a record is an error.
+    needs ``multiline`` (lines are then landed, and quotes must be doubled within quoted texts);
+    without it such a record is an error.
     ``with_line`` adds an orderable ``line`` that follows the source order, which decides ties
     between rows of one round.
     """
     kind = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if kind == "parquet":
         return _source_columns(spark.read.parquet(path), with_line)
-    tables = [
-        _source_columns(_csv_files(spark, header, files, multiline), with_line)
-        for header, files in _headers(spark, path).items()
-    ]
+    if multiline:
+        tables = [_source_columns(t, with_line, "_line") for t in read_csv_records(spark, path)]
+    else:
+        tables = [
+            _source_columns(_csv_files(spark, header, files), with_line)
+            for header, files in _headers(spark, path).items()
+        ]
     df = tables[0]
     for other in tables[1:]:
         df = df.unionByName(other, allowMissingColumns=True)
@@ -74,21 +79,22 @@ def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return found
 
 
-def _csv_files(spark: SparkSession, header: str, files: list[str], multiline: bool) -> DataFrame:
+def _csv_files(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
     """Files of one header, which Spark checks against each of them."""
     fields = next(csv.reader([header.removeprefix("\ufeff")]))
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
     # a record that was cut at a line break has too few fields
-    reader = reader.option("escape", '"').option("multiLine", multiline).option("mode", "FAILFAST")
+    reader = reader.option("escape", '"').option("mode", "FAILFAST")
     return reader.csv(files)
 
 
-def _source_columns(df: DataFrame, with_line: bool) -> DataFrame:
+def _source_columns(df: DataFrame, with_line: bool, line: str | None = None) -> DataFrame:
+    """Texts of the source; ``line`` names a column that has the place in the file already."""
     require_columns(df, list(V.SOURCE_COLUMNS))
-    columns = [_present(c).alias(c) for c in df.columns]
+    columns = [_present(c).alias(c) for c in df.columns if c != line]
     if with_line:
-        columns.append(source_line().alias("line"))
+        columns.append((F.col(line) if line else source_line()).alias("line"))
     return rename_columns(df.select(*columns))
 
 

@@ -1,4 +1,6 @@
+import csv
 import glob
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from seatwise.operators import (
 )
 from seatwise.plans.recommend import basic_programs, ingest, ready_seats, recommend, respond
 from seatwise.sources import cutoffs as src
+from seatwise.sources.records import read_csv_records
 
 
 def pairs(df):
@@ -504,6 +507,44 @@ def test_files_with_other_columns_and_line_breaks(spark, tmp_path):
     assert src.read_cutoffs(spark, str(tmp_path / "plain"), format="parquet").count() == 1
 
 
+@pytest.mark.parametrize("piece", ["64b", "1kb", "1mb"])
+def test_records_over_lines_and_splits(spark, tmp_path, piece):
+    """As read whole by Spark, whatever the splits; line ends, quotes, commas and empty lines within texts."""
+    rng = random.Random(7)
+    bits = ["a", "bb", "\n", "\n\n", '"', '""', ",", " ", "é", "\n,\"x\"\n", "c" * 90]
+    for name, count in [("a", 120), ("b", 40), ("empty", 0)]:
+        rows = [["".join(rng.choices(bits, k=rng.randrange(6))) or "-" for _ in range(3)] for _ in range(count)]
+        with open(tmp_path / f"{name}.csv", "w", newline="") as file:
+            table = csv.writer(file, lineterminator="\r\n" if name == "b" else "\n")
+            table.writerows([["x", "y", "z"], *rows])
+    plain = spark.read.csv(str(tmp_path), header=True, multiLine=True, escape='"')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", piece)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        found, = read_csv_records(spark, str(tmp_path))
+        ours = found.orderBy("_line").select("x", "y", "z", "_line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    in_order = plain.select("*", "_metadata.file_path", F.monotonically_increasing_id().alias("n"))
+    theirs = in_order.orderBy("file_path", "n").collect()
+    assert [r[:3] for r in ours] == [r[:3] for r in theirs]
+    assert len({r["_line"]["offset"] for r in ours}) > 1 or piece == "1mb"
+
+
+def test_broken_records(spark, tmp_path):
+    open_end, wide, none = tmp_path / "open.csv", tmp_path / "wide.csv", tmp_path / "none.csv"
+    open_end.write_text('x,y\n1,"2\n3,4\n')
+    wide.write_text('x,y\n1,"2\n",3\n')
+    none.write_text("")
+    with pytest.raises(ValueError, match="never closed"):
+        read_csv_records(spark, str(open_end))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_csv_records(spark, str(wide))[0].collect()
+    with pytest.raises(ValueError, match="no header"):
+        read_csv_records(spark, str(none))
+
+
 def test_both_datasets_from_files(spark, tmp_path):
     """The example of the README: profiles get the dataset they ask for, and basic by default."""
     multi, single = tmp_path / "multi.csv", tmp_path / "single.csv"
