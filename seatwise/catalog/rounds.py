@@ -16,6 +16,7 @@ from seatwise.operators import cleaning as C, programs as P, rounds as R, summar
 from seatwise.operators.choices import numbered_by
 from seatwise.session import shared_folder
 from seatwise.sources import cutoffs as src
+from seatwise.sources.round_state import fold_rounds, folded_rounds
 
 CTES["spreads"] = "SELECT CAST(closing_rank - opening_rank AS DOUBLE) AS s FROM programs"
 
@@ -93,6 +94,38 @@ def notebook_sort(spark, sf):
     )
 
 
+def _folded(spark, sf, rule):
+    """Two loads that share years, keys and rounds, folded one after the other; the second one twice."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = fx.raw_cutoffs(spark, sf)
+    rows = C.typed_cutoffs(rows, fx.YEAR) if rule in ("programs", "history") else rows
+    odd = F.col("l_linenumber") % 2 == 1
+    for load in (rows.where(odd), rows.where(~odd), rows.where(~odd)):
+        fold_rounds(load, path, rule, fx.LINES)
+    found = folded_rounds(spark, path, rule)
+    return found.withColumn("year", F.col("year").cast(R.RULES[rule].rows(rows, fx.LINES).schema["year"].dataType))
+
+
+@query("fold_programs", f"SELECT {_ROW} FROM typed_ends")
+def fold_programs(spark, sf):
+    return _folded(spark, sf, "programs").where(F.col("year") == fx.YEAR).select(*_ROW_COLUMNS)
+
+
+@query("fold_history", "SELECT * FROM typed_history")
+def fold_history(spark, sf):
+    return _folded(spark, sf, "history")
+
+
+@query("fold_clean", f"SELECT {_ROW}, year FROM clean_ends")
+def fold_clean(spark, sf):
+    return _folded(spark, sf, "clean").select(*_ROW_COLUMNS, "year")
+
+
+@query("fold_notebook", f"SELECT {_ROW}, year FROM notebook_ends")
+def fold_notebook(spark, sf):
+    return _folded(spark, sf, "notebook").select(*_ROW_COLUMNS, "year")
+
+
 @query(
     "write_last_round",
     f"""SELECT year, seat_type, institute IS NULL AS unnamed, count(*) AS n,

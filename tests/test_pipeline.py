@@ -15,6 +15,7 @@ from seatwise.operators import (
 from seatwise.plans.recommend import basic_programs, ingest, ready_seats, recommend, respond
 from seatwise.sources import cutoffs as src
 from seatwise.sources.records import read_csv_records
+from seatwise.sources.round_state import fold_rounds, folded_rounds
 
 
 def pairs(df):
@@ -285,6 +286,36 @@ def test_history_of_two_spellings(spark):
     assert [(r.history, r.years) for r in rows] == [({2024: 102, 2025: 103}, 2)]
 
 
+@pytest.mark.parametrize("rule", ["programs", "history", "clean", "notebook"])
+def test_folded_loads(spark, tmp_path, rule):
+    """Loads in any order give the rows of one reduction, and leave the files of other years alone."""
+    df = raw(
+        spark,
+        {}, {"round": "2"}, {"round": "2"}, {"round": "final"}, {"round": None, "quota": None},
+        {"year": "2024"}, {"year": "2024", "gender": "F"}, {"year": "2024", "gender": "Female "}, {"year": None},
+        {"year": "2023", "institute": None}, {"year": "2023", "round": "3"}, {"year": "2023", "round": "3"},
+    )
+    if rule in ("programs", "history"):
+        df = cleaning.typed_cutoffs(df)
+    loads = [df.where(F.col("line") % 3 == k) for k in (2, 0, 1)]
+    path = str(tmp_path / "state")
+    for load in loads:
+        fold_rounds(load, path, rule)
+    wanted = R.RULES[rule].last(R.RULES[rule].rows(df, ["line"]), ["line"])
+    columns = [c for c in [*R.HISTORY_KEY, "gender", "year", "closing_rank", "line"] if c in wanted.columns]
+    rows_of = lambda d: sorted(map(tuple, d.select(*columns).collect()), key=repr)
+    state = lambda: rows_of(spark.read.schema(wanted.schema).parquet(path))
+    assert state() == rows_of(wanted) and len(state()) > 2
+    files = lambda year: set(glob.glob(f"{path}/year={year}*/*.parquet"))
+    before = {y: files(y) for y in (2023, 2024, 2025)}
+    assert all(before.values())
+    fold_rounds(df.where("year = 2024"), path, rule)
+    fold_rounds(df.where("year = 1900"), path, rule)
+    assert state() == rows_of(wanted)
+    assert files(2023) == before[2023] and files(2025) == before[2025] and files(2024) != before[2024]
+    assert len(folded_rounds(spark, path, rule).columns) >= 7
+
+
 def test_incomplete_rows(spark):
     df = raw(spark, {}, {"closing_rank": "12P"}, {"institute": None}, {"opening_rank": "inf"})
     assert kept(cleaning.typed_cutoffs(df)) == [100]
