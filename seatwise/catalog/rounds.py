@@ -159,16 +159,25 @@ _BROKEN = f"""CASE WHEN l_linenumber % 2 = 1 THEN replace({trimmed('program')},
     ELSE {trimmed('program')} END"""
 
 
-@query(
-    "read_cutoffs",
-    f"""SELECT {trimmed('institute')} AS institute, {_BROKEN} AS program, {trimmed('quota')} AS quota,
-        year, round, count(*) AS n FROM raw GROUP BY ALL""",
-)
+_READ = f"""SELECT {trimmed('institute')} AS institute, {_BROKEN} AS program, {trimmed('quota')} AS quota,
+        year, round, count(*) AS n FROM raw GROUP BY ALL"""
+
+
+def _counted(rows):
+    key = ["institute", "program", "quota", "year", "round"]
+    return C.trim_strings(rows).groupBy(*key).agg(F.count("*").alias("n"))
+
+
+@query("read_cutoffs", _READ)
 def read_cutoffs(spark, sf):
     """CSV files with source headers in different order, read by header name."""
-    rows = C.trim_strings(src.read_cutoffs(spark, _two_files(spark, sf), multiline=True))
-    key = ["institute", "program", "quota", "year", "round"]
-    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+    return _counted(src.read_cutoffs(spark, _two_files(spark, sf), multiline=True))
+
+
+@query("read_cutoffs_split", _READ)
+def read_cutoffs_split(spark, sf):
+    """The same files, records over several lines put together from splits."""
+    return _counted(src.read_cutoffs(spark, _two_files(spark, sf), multiline="split"))
 
 
 @query(

@@ -35,25 +35,26 @@ def read_cutoffs(
     path: str,
     with_line: bool = False,
     format: str | None = None,
-    multiline: bool = False,
+    multiline: bool | str = False,
 ) -> DataFrame:
     """A multi-year cutoff table, every column a string, missing texts as null.
 
     ``format`` is ``csv`` or ``parquet``; without it the ending of the path decides. CSV columns are
     found by the header of each file, so files may order them differently. A record that spans lines
-    needs ``multiline`` (lines are then landed, and quotes must be doubled within quoted texts);
-    without it such a record is an error.
+    needs ``multiline``; without it such a record is an error. ``True`` reads each file in one task.
+    ``split`` reads a large file in many, at several times the work: the source is read once, its lines
+    are landed, and quotes may stand in quoted texts only.
     ``with_line`` adds an orderable ``line`` that follows the source order, which decides ties
     between rows of one round.
     """
     kind = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if kind == "parquet":
         return _source_columns(spark.read.parquet(path), with_line)
-    if multiline:
+    if multiline == "split":
         tables = [_source_columns(t, with_line, "_line") for t in read_csv_records(spark, path)]
     else:
         tables = [
-            _source_columns(_csv_files(spark, header, files), with_line)
+            _source_columns(_csv_files(spark, header, files, bool(multiline)), with_line)
             for header, files in _headers(spark, path).items()
         ]
     df = tables[0]
@@ -79,13 +80,13 @@ def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return found
 
 
-def _csv_files(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+def _csv_files(spark: SparkSession, header: str, files: list[str], multiline: bool) -> DataFrame:
     """Files of one header, which Spark checks against each of them."""
     fields = next(csv.reader([header.removeprefix("\ufeff")]))
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
     # a record that was cut at a line break has too few fields
-    reader = reader.option("escape", '"').option("mode", "FAILFAST")
+    reader = reader.option("escape", '"').option("multiLine", multiline).option("mode", "FAILFAST")
     return reader.csv(files)
 
 

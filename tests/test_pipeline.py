@@ -519,14 +519,15 @@ def test_links_like_a_browser(spark):
     assert sorted((r.expected, r.needle, r.mains_rank) for r in got) == sorted((w, w, 5) for w in urls.values())
 
 
-def test_files_with_other_columns_and_line_breaks(spark, tmp_path):
+@pytest.mark.parametrize("multiline", [True, "split"])
+def test_files_with_other_columns_and_line_breaks(spark, tmp_path, multiline):
     one, two = tmp_path / "in/a.csv", tmp_path / "in/b.csv"
     one.parent.mkdir()
     names = list(V.SOURCE_COLUMNS)
     one.write_text(",".join(names) + "\n" + ",".join(f"x{n}" for n in names) + "\n")
     other = names[::-1]
     two.write_text(",".join(other) + "\n" + ",".join(f'"y\n{n}"' for n in other) + "\n")
-    rows = src.read_cutoffs(spark, str(one.parent), with_line=True, multiline=True).orderBy("line").collect()
+    rows = src.read_cutoffs(spark, str(one.parent), with_line=True, multiline=multiline).orderBy("line").collect()
     assert len(rows) == 2
     for source, name in V.SOURCE_COLUMNS.items():
         assert (rows[0][name], rows[1][name]) == (f"x{source}", f"y\n{source}")
