@@ -2,9 +2,10 @@
 
 Windows of ``WINDOW`` bytes are embedded, passed through filters of widths 2, 3 and 4, max-pooled and
 classified by softmax. A document's prediction is the mean over all windows of its whole text, weighted
-by their bytes. Training takes a bounded sample: about ``DOCS_PER_LANGUAGE`` labelled documents of each
-of the ``MAX_LANGUAGES`` most frequent labels, chosen by a hash of the id, with ``WINDOWS_PER_DOC``
-windows spread over the text of each; documents whose CRC-32 of the id is 2 modulo 4 are held out.
+by their bytes. Every label is learned. Training takes a bounded sample: of each label the ``DOCS_PER_LANGUAGE``
+documents (fewer if there are so many labels that all would be more than ``SAMPLE_DOCS``, but at least one) with the
+least hashes of id and text, and ``WINDOWS_PER_DOC`` windows spread over the whole text of each; documents whose
+CRC-32 of the id is 2 modulo 4 are held out.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to
 learn from. A null id is not held out and is not learned from. Rows are predicted one by one, so repeated
@@ -21,13 +22,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 EMBEDDED = 8
 DOCS_PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+SAMPLE_DOCS = 120_000
 WINDOWS_PER_DOC = 4
 EPOCHS = 5
 BATCH = 64
@@ -70,11 +72,41 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def filter_mask() -> np.ndarray:
+    """Ones where a filter of its width has weights."""
+    widths = np.repeat(WIDTHS, FILTERS)
+    return np.repeat([[float(k < w) for w in widths] for k in range(max(WIDTHS))], EMBEDDED, axis=0)
+
+
+def gradients_of(net: Network, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy; they go back through the greatest response of each filter."""
+    wide, n = max(WIDTHS), FILTERS * len(WIDTHS)
+    most, at = net.pooled(x)
+    hidden = np.maximum(most, 0)
+    error = softmax(hidden @ net.weights + net.offset)
+    error[np.arange(len(y)), y] -= 1
+    error /= len(y)
+    back = (error @ net.weights.T) * (most > 0)
+    padded = np.pad(x, ((0, 0), (0, wide - 1)))
+    seen = padded[np.arange(len(y))[:, None, None], at[:, :, None] + np.arange(wide)]
+    patches = net.embedding[seen].reshape(len(y), n, -1)
+    into = (back[:, :, None] * net.kernel.T[None]).reshape(-1, EMBEDDED)
+    embedding = np.zeros_like(net.embedding)
+    np.add.at(embedding, seen.reshape(-1), into)
+    return {
+        "embedding": embedding,
+        "kernel": np.einsum("bf,bfk->kf", back, patches) * mask,
+        "bias": back.sum(axis=0),
+        "weights": hidden.T @ error,
+        "offset": error.sum(axis=0),
+    }
+
+
 def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7) -> Network:
-    """Adam on the cross entropy; gradients go back through the greatest response of each filter."""
+    """Adam on the cross entropy."""
     rng = np.random.default_rng(seed)
     wide, n = max(WIDTHS), FILTERS * len(WIDTHS)
-    mask = np.repeat([[float(k < w) for w in np.repeat(WIDTHS, FILTERS)] for k in range(wide)], EMBEDDED, axis=0)
+    mask = filter_mask()
     net = Network(
         languages,
         rng.normal(0, 0.5, (256, EMBEDDED)).astype(np.float32),
@@ -91,25 +123,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
         for start in range(0, len(order), BATCH):
             some = order[start : start + BATCH]
             x, y = windows[some], labels[some]
-            most, at = net.pooled(x)
-            hidden = np.maximum(most, 0)
-            error = softmax(hidden @ net.weights + net.offset)
-            error[np.arange(len(y)), y] -= 1
-            error /= len(y)
-            back = (error @ net.weights.T) * (most > 0)
-            padded = np.pad(x, ((0, 0), (0, wide - 1)))
-            seen = padded[np.arange(len(y))[:, None, None], at[:, :, None] + np.arange(wide)]
-            patches = net.embedding[seen].reshape(len(y), n, -1)
-            into = (back[:, :, None] * net.kernel.T[None]).reshape(-1, EMBEDDED)
-            embedding = np.zeros_like(net.embedding)
-            np.add.at(embedding, seen.reshape(-1), into)
-            gradients = {
-                "embedding": embedding,
-                "kernel": np.einsum("bf,bfk->kf", back, patches) * mask,
-                "bias": back.sum(axis=0),
-                "weights": hidden.T @ error,
-                "offset": error.sum(axis=0),
-            }
+            gradients = gradients_of(net, x, y, mask)
             step += 1
             for k, g in gradients.items():
                 m, v = moments[k]
@@ -149,12 +163,18 @@ def fit(
     )
     learned = named.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     learned = learned.where(F.col("text").rlike(r"\p{L}"))
-    counts = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    learned = learned.withColumn("place", place)
+    counts = learned.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], per_language / row["count"])])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]
-    sample = learned.where(drawn).limit(2 * per_language * len(counts))
+    taken = max(1, min(per_language, SAMPLE_DOCS // len(counts)))
+    # before any text is sorted: the least of each label, and about twice as many as needed, all of rare labels
+    shares = [(r["lang"], max(r["least"], (2 * taken + 60) / r["n"])) for r in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    drawn = learned.join(shares, "lang").where("place <= share")
+    order = W.partitionBy("lang").orderBy("place", "doc_id")
+    sample = drawn.withColumn("taken", F.row_number().over(order)).where(F.col("taken") <= taken)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -319,6 +320,86 @@ def test_languages(spark, odd_docs, no_docs):
     assert language_cnn.identify_languages(odd_docs).count() == odd_docs.count()
 
 
+def small_network(rng, labels=3):
+    """Random weights in double precision."""
+    wide, n = max(language_cnn.WIDTHS), language_cnn.FILTERS * len(language_cnn.WIDTHS)
+    return language_cnn.Network(
+        [f"l{k}" for k in range(labels)],
+        rng.normal(0, 0.5, (256, language_cnn.EMBEDDED)),
+        rng.normal(0, 0.3, (wide * language_cnn.EMBEDDED, n)) * language_cnn.filter_mask(),
+        rng.normal(0, 0.1, n), rng.normal(0, 0.5, (n, labels)), rng.normal(0, 0.1, labels),
+    )
+
+
+def plain_probabilities(net, data):
+    """One window, filter by filter and place by place."""
+    size, hidden = language_cnn.EMBEDDED, []
+    padded = list(data) + [0] * (max(language_cnn.WIDTHS) - 1)
+    for f in range(len(net.bias)):
+        width = language_cnn.WIDTHS[f // language_cnn.FILTERS]
+        found = []
+        for at in range(len(data)):
+            found.append(sum(
+                float(net.embedding[padded[at + k]] @ net.kernel[k * size : (k + 1) * size, f]) for k in range(width)
+            ))
+        hidden.append(max(0.0, max(found) + net.bias[f]))
+    raw = [sum(h * net.weights[j, c] for j, h in enumerate(hidden)) + net.offset[c] for c in range(len(net.offset))]
+    total = sum(np.exp(r) for r in raw)
+    return [np.exp(r) / total for r in raw]
+
+
+def test_network_is_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = small_network(rng)
+    windows = rng.integers(0, 256, (4, 40)).astype(np.uint8)
+    windows[1, 7:] = 0
+    assert np.allclose(net.probabilities(windows), [plain_probabilities(net, w) for w in windows.tolist()])
+    # a text over several windows: the mean of theirs, weighted by their bytes
+    text = bytes(rng.integers(0, 256, 2 * language_cnn.WINDOW + 50).tolist())
+    parts = [text[k : k + language_cnn.WINDOW] for k in range(0, len(text), language_cnn.WINDOW)]
+    each = [plain_probabilities(net, part.ljust(language_cnn.WINDOW, b"\0")) for part in parts]
+    mean = np.average(each, axis=0, weights=[len(part) for part in parts])
+    (lang,), (score,) = language_cnn.predict_texts(net, [text])
+    assert lang == net.languages[int(mean.argmax())] and abs(score - mean.max()) < 1e-9
+
+
+def test_gradients_are_numeric_ones():
+    rng = np.random.default_rng(4)
+    net = small_network(rng)
+    x, y = rng.integers(1, 256, (6, 30)).astype(np.uint8), rng.integers(0, 3, 6)
+    mask = language_cnn.filter_mask()
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(6), y]).mean()
+    for name, found in language_cnn.gradients_of(net, x, y, mask).items():
+        weights = getattr(net, name)
+        places = [np.unravel_index(k, weights.shape) for k in np.argsort(-np.abs(found), axis=None)[:6]]
+        for at in places:
+            kept, step = weights[at], 1e-6
+            weights[at] = kept + step
+            up = loss()
+            weights[at] = kept - step
+            down = loss()
+            weights[at] = kept
+            assert abs((up - down) / (2 * step) - found[at]) < 1e-5 + 1e-3 * abs(found[at]), name
+    assert not (language_cnn.gradients_of(net, x, y, mask)["kernel"] * (1 - mask)).any()
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """Also rare ones among very many, each with at least one document, whatever the bound on the sample."""
+    rows = [(k, f"text {k} abc", f"l{k % 250:03d}") for k in range(1000)] + [(5000 + k, "rare words", "rare") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_cnn, "train", lambda windows, labels, languages: seen.append((windows, labels, languages)))
+    for bound, per_label in [(120_000, 3), (100, 600)]:
+        monkeypatch.setattr(language_cnn, "SAMPLE_DOCS", bound)
+        language_cnn.fit(docs, per_language=per_label)
+    labels = {lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    most = [3, 1]
+    for (windows, owners, languages), count in zip(seen, most):
+        assert set(languages) == labels and len(labels) > 200
+        drawn = np.bincount(owners) // language_cnn.WINDOWS_PER_DOC
+        assert drawn.min() >= 1 and drawn.max() <= count
+
+
 def test_without_labels_every_text_with_a_letter_stays(spark):
     rows = [(1, "some words", None), (2, "12 !?", None), (3, None, None), (4, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
