@@ -172,7 +172,8 @@ def fit(
     # before any text is sorted: the least of each label, and about twice as many as needed, all of rare labels
     shares = [(r["lang"], max(r["least"], (2 * taken + 60) / r["n"])) for r in counts]
     shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
-    drawn = learned.join(shares, "lang").where("place <= share")
+    # one row per label, which the driver has held
+    drawn = learned.join(F.broadcast(shares), "lang").where("place <= share")
     order = W.partitionBy("lang").orderBy("place", "doc_id")
     sample = drawn.withColumn("taken", F.row_number().over(order)).where(F.col("taken") <= taken)
 
