@@ -120,6 +120,25 @@ def test_top_n_is_exact(spark, sf_dir):
         assert wanted.exceptAll(got).count() == 0
 
 
+def test_candidates_do_not_grow_with_programs(spark):
+    """The bound lies close to the N-th match, and a node lists N programs of a score."""
+    seats = H.seats(
+        spark, *[{"institute": f"I{i}", "opening_rank": 1000, "closing_rank": 30_001 + 10 * i} for i in range(2000)]
+    )
+    people = H.profiles(spark, {"mains_rank": 30_000, "max_results": 5})
+    narrow = M.narrow_profiles(people)
+    listed = M.listed_programs(seats, narrow, 5, by_category=True)
+    counts = M.match_counts(M.probes_of(narrow, 5), M.alike_programs(listed, 64), 1000, 64)
+    bound = M._cutoffs(counts, narrow).first()
+    assert bound["total"] == 2000 and 30_041 <= bound["worst_closing"] < 30_700
+    first = M.first_listed(listed, 5)
+    per_node = first.where("NOT at_end").groupBy(*M.ROUTE, "category_no").count()
+    assert per_node.agg(F.max("count")).first()[0] == 5
+    assert first.where("at_end").exceptAll(listed.where("at_end")).count() == 0
+    got = M.top_matches(people, seats).orderBy("position").select("closing_rank", "total").collect()
+    assert [tuple(r) for r in got] == [(30_001 + 10 * i, 2000) for i in range(5)]
+
+
 def test_results_properties(spark, sf_dir):
     people = fx.profiles(spark, sf_dir)
     recs = recommend(people, fx.seats(spark, sf_dir)).cache()
