@@ -154,6 +154,9 @@ CUTOFF_TABLES = {
     "supplier": "l_suppkey = s_suppkey",
     "nation": "s_nationkey = n_nationkey",
 }
+# tables with a key of their own, and the rows beyond which they are too large to broadcast
+UNIQUE = ["orders", "part"]
+HASHED_ROWS = 2_000_000
 PROFILE_TABLES = {"nation": "c_nationkey = n_nationkey"}
 
 
@@ -162,20 +165,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _derived(
-    spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str, str], spread: bool = False
+    spark, sf_dir, base: str, tables: dict[str, str], columns: dict[str, str], spread: str | None = None
 ):
+    """``spread`` is the column that the first of ``tables`` is joined by."""
     df = table(spark, sf_dir, base)
     if spread:
-        # a table of one row group would be one task for all the costly columns
-        df = df.repartition(task_count(spark))
+        # a table of one row group would be one task for all the costly columns; the first join needs no other shuffle
+        df = df.repartition(task_count(spark), spread)
     for name, condition in tables.items():
-        df = df.join(table(spark, sf_dir, name), F.expr(condition))
+        other = table(spark, sf_dir, name)
+        if name in UNIQUE and other.count() > HASHED_ROWS:
+            # a hash table of its keys, so that the rows of the base table are not sorted for the join
+            other = other.hint("shuffle_hash")
+        df = df.join(other, F.expr(condition))
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
 def cutoffs(spark: SparkSession, sf_dir: str, applicant: bool = False) -> DataFrame:
     columns = {**CUTOFF_COLUMNS, "applicant": "o_custkey"} if applicant else CUTOFF_COLUMNS
-    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns, spread=True)
+    return _derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns, spread="l_orderkey")
 
 
 _LANDED: dict[tuple[str, str], DataFrame] = {}
@@ -189,7 +197,7 @@ def raw_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         columns = {**RAW_COLUMNS, **{c: c for c in LINES[1:]}}
-        _LANDED[key] = written(_derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns, True))
+        _LANDED[key] = written(_derived(spark, sf_dir, "lineitem", CUTOFF_TABLES, columns, "l_orderkey"))
     return _LANDED[key]
 
 

@@ -139,6 +139,18 @@ def test_candidates_do_not_grow_with_programs(spark):
     assert [tuple(r) for r in got] == [(30_001 + 10 * i, 2000) for i in range(5)]
 
 
+def test_derived_rows_are_shuffled_once_and_not_sorted(spark, sf_dir, monkeypatch):
+    """Large tables are joined by hash tables of their keys, and the rows are spread by the first of these keys."""
+    plain = fx.cutoffs(spark, sf_dir)
+    assert "RoundRobin" not in plain._jdf.queryExecution().toString()
+    monkeypatch.setattr(fx, "HASHED_ROWS", 0)
+    large = fx.cutoffs(spark, sf_dir)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("hashpartitioning(l_orderkey") == 1
+    assert large.count() == plain.count() > 0 and large.exceptAll(plain).count() == 0
+
+
 def test_results_properties(spark, sf_dir):
     people = fx.profiles(spark, sf_dir)
     recs = recommend(people, fx.seats(spark, sf_dir)).cache()
