@@ -17,14 +17,14 @@ from seatwise.session import written
 from seatwise.sources.cutoffs import require_columns
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table, or one without rows where nothing has been folded yet."""
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table, or none where nothing has been folded yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
 
 
 def fold_rounds(rows: DataFrame, path: str, rule: str, lines: Sequence[str] = ("line",)) -> None:
@@ -43,8 +43,11 @@ def fold_rounds(rows: DataFrame, path: str, rule: str, lines: Sequence[str] = ("
     touched = F.col("year").isin(known)
     if None in years:
         touched = touched | F.col("year").isNull()
-    before = _stored(spark, path, load.schema).where(touched)
-    merged = reduce.last(before.unionByName(load), lines).select(*load.columns)
+    before, merged = _stored(spark, path, load.schema), load
+    if before is not None:
+        # the load has one row per key already, so it is only merged with what is there
+        both = before.where(touched).unionByName(load)
+        merged = reduce.last(both, lines).select(*load.columns)
     # the years of the load are replaced when all of them are written
     writer = merged.hint("rebalance", "year").write.partitionBy("year").mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)

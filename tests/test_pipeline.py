@@ -151,6 +151,17 @@ def test_derived_rows_are_shuffled_once_and_not_sorted(spark, sf_dir, monkeypatc
     assert large.count() == plain.count() > 0 and large.exceptAll(plain).count() == 0
 
 
+def test_first_load_is_reduced_once(spark, tmp_path, monkeypatch):
+    """Where nothing has been folded yet, the load is the table; later loads are merged with it."""
+    reduce, calls = R.LastRound.last, []
+    monkeypatch.setattr(R.LastRound, "last", lambda *args: calls.append(1) or reduce(*args))
+    df = raw(spark, {"round": "1"}, {"round": "2"})
+    fold_rounds(df, str(tmp_path / "t"), "clean")
+    assert len(calls) == 1 and folded_rounds(spark, str(tmp_path / "t"), "clean").count() == 1
+    fold_rounds(df, str(tmp_path / "t"), "clean")
+    assert len(calls) == 3 and folded_rounds(spark, str(tmp_path / "t"), "clean").count() == 1
+
+
 def test_results_properties(spark, sf_dir):
     people = fx.profiles(spark, sf_dir)
     recs = recommend(people, fx.seats(spark, sf_dir)).cache()
