@@ -139,6 +139,35 @@ def test_candidates_do_not_grow_with_programs(spark):
     assert [tuple(r) for r in got] == [(30_001 + 10 * i, 2000) for i in range(5)]
 
 
+def test_only_the_bounds_category_is_counted_in_detail(spark, monkeypatch):
+    """Other categories are one class a profile, a wide one gets a closer bound, and octaves nobody asks for are not listed."""
+    rows = [{"institute": f"S{i}", "brand_score": 0.4 + i % 5 / 10, "opening_rank": 1100 + i, "closing_rank": 1500 + 7 * i}
+            for i in range(60)]
+    rows += [{"institute": f"T{i}", "opening_rank": 500, "closing_rank": 1001 + i} for i in range(9)]
+    rows += [{"institute": f"L{i}", "opening_rank": 900_000, "closing_rank": 990_000} for i in range(9)]
+    seats = H.seats(spark, *rows)
+    people = H.profiles(
+        spark, {"mains_rank": 1000, "max_results": 5}, {"profile_id": 2, "mains_rank": 1000, "max_results": 12},
+        {"profile_id": 3, "mains_rank": 1000, "max_results": 99}, {"profile_id": 4, "mains_rank": 1000, "max_results": 0},
+        {"profile_id": 5, "mains_rank": 700, "max_results": 3},
+    )
+    narrow = M.narrow_profiles(people)
+    listed = M.listed_programs(seats, narrow, 5, by_category=True)
+    counts = M.match_counts(M.probes_of(narrow, 5), M.alike_programs(listed, 16, 0), 1000, 16)
+    whole = counts.where(F.col("class") >= M._CATEGORY_UNIT).groupBy("profile_id").count()
+    assert {r["count"] for r in whole.collect()} == {1}
+    bounds = {r["profile_id"]: r for r in M.bounded_profiles(seats, narrow, 5, 16, 1000).collect()}
+    assert [bounds[i]["worst_category"] for i in (1, 2, 3)] == [0, 2, 2]
+    assert bounds[2]["worst_score"] > 0 and bounds[3]["worst_score"] == 0
+    safe = M.listed_programs(seats, narrow.withColumn("category_no", F.lit(2)), 5, by_category=True)
+    assert safe.select("category_no").distinct().collect()[0][0] == 2
+    assert safe.where("closing_rank = 990000").isEmpty() and not listed.where("closing_rank = 990000").isEmpty()
+    got = M.top_matches(people, seats).groupBy("profile_id").agg(F.count("*"), F.max("total")).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 69), (2, 12, 69), (3, 69, 69), (5, 3, 69)]
+    best = M.top_matches(people, seats).where("profile_id = 2").orderBy("position").select("institute").collect()
+    assert [r[0] for r in best] == [f"T{i}" for i in range(9)] + ["S4", "S9", "S14"]
+
+
 def test_derived_rows_are_shuffled_once_and_not_sorted(spark, sf_dir, monkeypatch):
     """Large tables are joined by hash tables of their keys, and the rows are spread by the first of these keys."""
     plain = fx.cutoffs(spark, sf_dir)
