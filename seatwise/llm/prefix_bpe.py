@@ -38,14 +38,21 @@ class Ranks:
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank first and leftmost; for pairs of tokens only."""
+        get, none = self.ranks.get, 1 << 60
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            ranked = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+        ranked = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranked:
             best = min(ranked)
-            if best == 1 << 60:
+            if best == none:
                 break
             k = ranked.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            # only the pairs on both sides of the merged one are others now
+            del ranked[k]
+            if k:
+                ranked[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(ranked):
+                ranked[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
     def may_follow(self, before: int, token: int) -> bool:
@@ -74,18 +81,26 @@ class PrefixTable:
         self.ranks, self.data, self.last = ranks, b"", []
         self.append(data)
 
-    def _token_at(self, end: int) -> int:
+    def _fill(self, upto: int) -> None:
+        """The last tokens of the prefixes that have none yet, to that of ``upto`` bytes."""
         data, last, ranks = self.data, self.last, self.ranks
-        for start in range(max(0, end - ranks.longest), end):
-            token = ranks.ranks.get(data[start:end])
-            if token is not None and ranks.may_follow(last[start - 1] if start else -1, token):
-                return token
-        raise ValueError(f"no token ends at byte {end}")
+        token_of, known, longest = ranks.ranks.get, ranks.fits.get, ranks.longest
+        for end in range(len(last) + 1, upto + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                before = last[start - 1] if start else -1
+                fits = known((before, token))
+                if ranks.may_follow(before, token) if fits is None else fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {end}")
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        self._fill(len(self.data))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replaces bytes ``start:end``; returns how many prefixes were computed anew.
@@ -101,7 +116,7 @@ class PrefixTable:
             if alike >= self.ranks.longest:
                 self.last += old[at - 1 - shift :]
                 return at - 1 - start
-            self.last.append(self._token_at(at))
+            self._fill(at)
             before = at - 1 - shift
             alike = alike + 1 if at > start + len(new) and old[before] == self.last[-1] else 0
         return len(self.data) - start

@@ -151,3 +151,19 @@ def test_appends_and_edits_give_the_table_of_the_whole():
         whole = prefix_bpe.PrefixTable(ranks, data[:start] + new + data[end:])
         assert table.last == whole.last and table.tokens() == whole.tokens()
         assert computed <= len(new) + 2 * ranks.longest + 40
+
+
+def test_merging_looks_up_each_pair_once():
+    """Only the two pairs beside a merged one are looked up again."""
+
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *args):
+            self.looked_up += 1
+            return super().get(*args)
+
+    ranks = Counted({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"cab": 259})
+    data = b"abcab" * 40
+    assert prefix_bpe.Ranks(ranks).merged(data) == [b"ab"] + [b"c", b"abab"] * 39 + [b"cab"]
+    assert ranks.looked_up < 3 * len(data)
