@@ -168,6 +168,30 @@ def test_only_the_bounds_category_is_counted_in_detail(spark, monkeypatch):
     assert [r[0] for r in best] == [f"T{i}" for i in range(9)] + ["S4", "S9", "S14"]
 
 
+def test_a_node_s_alike_programs_are_summed_before_the_shuffle(spark):
+    """Programs that share nodes and kinds are in one task, wherever their institutes are in the sort order."""
+    kinds = [{"seat_type": s, "closing_rank": c} for s in ("OPEN", "SC") for c in (20_000, 45_000)]
+    seats = H.seats(
+        spark, *[{"institute": f"I{i}", "opening_rank": k["closing_rank"] - 5000, **k} for i in range(40) for k in kinds]
+    )
+    spread = seats.repartition(8, "institute")
+    near_by = M.clustered_programs(spread)
+    assert near_by.count() == seats.count() == 160
+    assert {r[0] for r in near_by.select("program_id").collect()} == {r[0] for r in seats.select("program_id").collect()}
+    files = near_by.select("seat_type", "closing_rank", F.input_file_name().alias("file")).distinct()
+    assert files.count() == 4
+
+
+def test_routes_of_different_keys_differ(spark):
+    """Texts that run into each other make no common route."""
+    keys = [("extended", "mains", "A", "B|any"), ("extended", "mains", "AB", "|any"), ("extended", "mains", "1:A", "B|any"),
+            ("extended", "mains", "", "AB|any"), ("extended", "mains", "A1", ":B|any")]
+    df = spark.createDataFrame(keys, "data_mode string, exam string, seat_key string, access string")
+    assert df.select(M._route()).distinct().count() == len(keys)
+    nulls = spark.createDataFrame([("extended", "mains", None, "x")], df.schema)
+    assert nulls.select(M._route()).first()[0] is None
+
+
 def test_derived_rows_are_shuffled_once_and_not_sorted(spark, sf_dir, monkeypatch):
     """Large tables are joined by hash tables of their keys, and the rows are spread by the first of these keys."""
     plain = fx.cutoffs(spark, sf_dir)
