@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -256,6 +257,21 @@ def test_every_unicode_space_separates_words():
     assert not len(weighted_minhash.shingles(["\u3000\u00a0"])[1])
 
 
+def test_texts_with_an_accent_take_no_multiple_of_the_time():
+    """One letter that is not ASCII does not have every letter of the text looked up."""
+
+    def seconds(text: str) -> float:
+        taken = []
+        for _ in range(5):
+            start = time.process_time()
+            weighted_minhash.shingles([text])
+            taken.append(time.process_time() - start)
+        return min(taken)
+
+    plain = "some words of a long text " * 40_000
+    assert seconds("\u00e9 " + plain) < 2.5 * seconds(plain)
+
+
 def test_samples_agree_as_often_as_the_weights_overlap():
     rng = random.Random(6)
     words = [f"w{k}" for k in range(900)]
