@@ -64,14 +64,15 @@ class PieceCache:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Puts ``pieces`` into the cache; returns those that are too long for it."""
-        if len(self.known) + len(pieces - self.known.keys()) > CACHE_SIZE:
-            self.older, self.known = self.known, {}
-        new = self._recalled(pieces - self.known.keys())
+        unknown = self._unknown(pieces)
+        if len(self.known) + len(unknown) > CACHE_SIZE:
+            self.older, self.known, unknown = self.known, {}, pieces
+        new = self._recalled(unknown)
         ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1] in self.letters]
         whole = new.difference(ended)
-        stems = self._recalled({p[:-1] for p in ended} - self.known.keys()) - whole
+        stems = self._recalled(self._unknown({p[:-1] for p in ended})) - whole
         if ended:
-            whole |= self._recalled({FIRST + ".", FIRST + ","} - self.known.keys())
+            whole |= self._recalled(self._unknown({FIRST + ".", FIRST + ","}))
         order = [*whole, *stems]
         raw = order
         if self.spaced:
@@ -87,12 +88,17 @@ class PieceCache:
             (known if len(piece) <= CACHED_CHARS else long)[piece] = found
         return long
 
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those of ``pieces`` that are not in the cache, which is asked for each; subtracting its keys goes through all of them."""
+        known = self.known
+        return {p for p in pieces if p not in known}
+
     def _recalled(self, pieces: set[str]) -> set[str]:
         """Those of ``pieces`` that the older generation does not have; the others are new again."""
-        again = pieces & self.older.keys()
+        again = [p for p in pieces if p in self.older]
         for piece in again:
             self.known[piece] = self.older[piece]
-        return pieces - again
+        return pieces.difference(again)
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         for start in range(0, len(texts), 512):

@@ -167,3 +167,19 @@ def test_merging_looks_up_each_pair_once():
     data = b"abcab" * 40
     assert prefix_bpe.Ranks(ranks).merged(data) == [b"ab"] + [b"c", b"abab"] * 39 + [b"cab"]
     assert ranks.looked_up < 3 * len(data)
+
+
+def test_a_batch_does_not_go_through_the_whole_cache():
+    """The cache is asked for a batch's pieces; what it holds besides does not count."""
+
+    class Cache(dict):
+        def __iter__(self):
+            raise AssertionError("all cached pieces are gone through")
+
+        def keys(self):
+            raise AssertionError("all cached pieces are gone through")
+
+    cache = piece_cache.PieceCache(lambda pieces: [p.encode() for p in pieces], True, piece_cache.LATIN, str.encode, ())
+    cache.known, cache.older = Cache(), Cache({"old": b" old", "end": b" end"})
+    assert list(cache.texts(["new old", "old end. new"])) == [b"new old", b"old end. new"]
+    assert list(cache.texts(["new old"])) == [b"new old"]
