@@ -1,6 +1,7 @@
 import csv
 import glob
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,29 @@ def test_covering_nodes(spark):
         assert sorted(leaf for r in below for leaf in r) == list(range(a, b + 1))
 
 
+def test_covering_nodes_of_wider_trees(spark):
+    """With nodes at every second or third level the leaves are the same, and a rank probes fewer nodes."""
+    for depth, step in ((4, 2), (5, 2), (5, 3)):
+        wide = 1 << depth
+        spans = [(a, b) for a in range(0, 3 * wide, 3) for b in range(a - 2, 3 * wide, 2)]
+        df = spark.createDataFrame(spans, "first long, last long")
+        for a, b, nodes in df.select("*", M.covering_nodes("first", "last", depth, step)).collect():
+            level = [n % (depth + 1) for n in nodes]
+            assert set(level) <= set(M.levels_of(depth, step))
+            assert all(level.count(k) <= 2 * ((1 << step) - 1) for k in range(depth))
+            below = [range((n // (depth + 1)) << k, (n // (depth + 1) + 1) << k) for n, k in zip(nodes, level)]
+            assert sorted(leaf for r in below for leaf in r) == list(range(a, b + 1))
+    person = M.narrow_profiles(H.profiles(spark, {"adv_rank": 1000, "mains_rank": None}))
+    reach = person.select(F.size("reach")).first()[0]
+    assert M.probes_of(person, 6).count() == 4 * reach
+
+
+def test_history_of_year_ends_is_one_shuffle(spark, sf_dir):
+    """The last rounds of a seat and its history are made where the rows of the seat are."""
+    plan = P.program_history(fx.year_ends(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\((?:_hash#\d+L, )?institute", plan)) == 1
+
+
 def test_leaves_never_fall(spark):
     ranks = sorted({r for k in range(40) for r in range((1 << k) - 3, (1 << k) + 4)} | set(range(3000)))
     df = spark.createDataFrame([(r,) for r in ranks], "rank long")
