@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seatwise.llm.common import drop_worker_caches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
@@ -214,6 +216,7 @@ def classifier(net: Network | None):
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_worker_caches()
         for batch in batches:
             lang, score = [UNKNOWN] * len(batch), [0.0] * len(batch)
             for start in range(0, len(batch), 1024):

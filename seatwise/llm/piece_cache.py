@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 
+from seatwise.llm.common import worker_cache
+
 CACHED_CHARS = 48  # longer pieces are encoded again each time
 CACHE_SIZE = 500_000  # pieces of each of two generations; the older is forgotten when the newer is full
 PART_CHARS = 1 << 20  # longer texts are handled in parts
@@ -132,7 +133,7 @@ class PieceCache:
         return b"".join([known[p] if p in known else extra[p] for p in pieces])
 
 
-@lru_cache
+@worker_cache
 def library_encoder(path: str, spaced: bool) -> PieceCache:
     """The tokenizers library with the file at ``path``, with its defaults but for ``add_special_tokens=False``."""
     from tokenizers import Tokenizer

@@ -5,12 +5,13 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from seatwise.llm import piece_cache, prefix_bpe
+from seatwise.llm import language_cnn, piece_cache, prefix_bpe
 from seatwise.llm.packing import CHUNK, pack, pack_documents, tokenized
 from seatwise.llm.token_coder import frame, read_frame
 from seatwise.llm.token_files import token_file_round_trip
@@ -183,3 +184,15 @@ def test_a_batch_does_not_go_through_the_whole_cache():
     cache.known, cache.older = Cache(), Cache({"old": b" old", "end": b" end"})
     assert list(cache.texts(["new old", "old end. new"])) == [b"new old", b"old end. new"]
     assert list(cache.texts(["new old"])) == [b"new old"]
+
+
+def test_language_lets_go_the_pieces_that_a_worker_kept():
+    """A worker that packed texts before does not hold its pieces while it predicts languages."""
+    encoder = piece_cache.library_encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    assert list(encoder.texts(["some text"])) and encoder.known
+    assert piece_cache.library_encoder.cache_info().currsize
+    net = language_cnn.train(np.zeros((4, language_cnn.WINDOW), np.uint8), np.array([0, 1, 0, 1]), ["de", "en"])
+    (classify,) = [c.cell_contents for c in language_cnn.classifier(net).__closure__]
+    (found,) = classify.func(iter([pd.Series(["some text", None])]))
+    assert list(found["lang_pred"])[1] == language_cnn.UNKNOWN
+    assert not piece_cache.library_encoder.cache_info().currsize
