@@ -206,6 +206,45 @@ def test_a_node_s_alike_programs_are_summed_before_the_shuffle(spark):
     assert files.count() == 4
 
 
+def test_seats_are_made_once_for_the_sort(spark, monkeypatch):
+    """A sort by ranges reads its input twice, so what it reads is written."""
+    sorted_rows, found = [], M.with_match_columns
+    monkeypatch.setattr(M, "with_match_columns", lambda df: sorted_rows.append(df) or found(df))
+    seats = H.seats(spark, {}, {"institute": "Other"})
+    assert seats.count() == 2 and sorted_rows[0].inputFiles()
+
+
+def test_programs_of_a_kind_are_judged_together(spark):
+    """A node has a row for the programs of a kind, at most N in each, and loses none that it listed."""
+    seats = H.seats(spark, *[{"institute": f"I{i}", "opening_rank": 1000, "closing_rank": 30_001 + i // 4} for i in range(90)])
+    narrow = M.narrow_profiles(H.profiles(spark, {"mains_rank": 30_000}))
+    listed = M.listed_programs(seats, narrow, 5, by_category=True)
+    groups = M.first_groups(listed, 7)
+    one = [*M.ROUTE, "category_no", "at_end", "program_id"]
+    single = groups.select("*", F.col("programs.program_id").alias("id")).select(*one[:-1], F.explode("id").alias("program_id"))
+    first = M.first_listed(listed, 7).select(*one)
+    assert single.exceptAll(first).isEmpty() and first.exceptAll(single).isEmpty() and not first.isEmpty()
+    assert groups.agg(F.max(F.size("programs"))).first()[0] == 7
+    assert groups.where("NOT at_end").groupBy(*M.ROUTE, "category_no").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_kinds_do_not_grow_with_states(spark):
+    """Seats barred for their own state are counted for all, less those of the home state, wherever that is unknown."""
+    rows = [{"institute": f"I{s}", "quota": "OS", "institute_state": s, "closing_rank": 9000} for s in [*V.STATES[:9], None]]
+    seats = H.seats(spark, *rows, {"institute": "A", "closing_rank": 9000})
+    homes = [V.STATES[0], V.STATES[1], "Elsewhere", None]
+    people = H.profiles(spark, *[{"profile_id": i, "home_state": s, "mains_rank": 2000} for i, s in enumerate(homes)])
+    narrow = M.narrow_profiles(people)
+    alike = M.alike_programs(M.listed_programs(seats, narrow, 5, by_category=True), 16)
+    out = M._by_home_state(alike).where("route LIKE '%|out' AND NOT at_end")
+    assert out.groupBy(*M.ROUTE, "category_no").count().agg(F.max("count")).first()[0] == 1
+    counts = M.match_counts(M.probes_of(narrow, 5), alike, 1000, 16).groupBy("profile_id").agg(F.sum("n"))
+    made = M.match_programs(people, seats).groupBy("profile_id").count()
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, made.collect())) == [(0, 10), (1, 10), (2, 11), (3, 2)]
+    top = M.top_matches(people, seats).groupBy("profile_id").agg(F.count("*"), F.max("total")).collect()
+    assert sorted(map(tuple, top)) == [(0, 10, 10), (1, 10, 10), (2, 11, 11), (3, 2, 2)]
+
+
 def test_routes_of_different_keys_differ(spark):
     """Texts that run into each other make no common route."""
     keys = [("extended", "mains", "A", "B|any"), ("extended", "mains", "AB", "|any"), ("extended", "mains", "1:A", "B|any"),
