@@ -206,6 +206,21 @@ def test_long_texts_are_compared_in_blocks_of_their_own(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in found} == {**dict.fromkeys(range(6), 0), 9: 9}
 
 
+def test_near_duplicates_go_to_python_in_small_batches(spark, monkeypatch):
+    """However many rows a task has, and the setting of the session is as before afterwards."""
+    key, sign, seen = "spark.sql.execution.arrow.maxBytesPerBatch", weighted_minhash.sign, []
+    monkeypatch.setattr(weighted_minhash, "sign", lambda docs: seen.append(spark.conf.get(key)) or sign(docs))
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "doc_id long, text string")
+    for before in (None, "16m"):
+        if before:
+            spark.conf.set(key, before)
+        was = spark.conf.get(key)
+        assert {r["class_id"] for r in weighted_minhash.near_duplicate_classes(docs).collect()} == {1}
+        assert spark.conf.get(key) == was
+    spark.conf.unset(key)
+    assert seen == ["8m", "8m"]
+
+
 def test_weights_are_those_of_each_shingle(monkeypatch, spark):
     monkeypatch.setattr(weighted_minhash, "RANGE_BYTES", 100_000)
     monkeypatch.setattr(weighted_minhash, "BATCH", 150)
